@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessel.llm import chat_format, exact_dedup
+from tessel.llm import ann, chat_format, exact_dedup, mixing, packing
 from tessel.llm.sql import OP1_SQL, OP8_SQL
 
 
@@ -18,13 +19,29 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_chat(talks.unionByName(probe)))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), k=5)
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_mixing": op4_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 ORACLES = {
