@@ -53,8 +53,9 @@ def targets(cells: DataFrame, weights=WEIGHTS, most: float = 3.0) -> DataFrame:
     every = Window.partitionBy(F.lit(1))
     sums = sums.withColumn("level", (F.sum("source_size").over(every) - F.col("capped")) / F.col("open"))
     fits = F.col("level") * F.col("weight") <= F.col("cap")
-    level = F.min(F.when(fits, F.struct((F.col("cap") / F.col("weight")).alias("r"), "level"))).over(every)
-    sums = sums.withColumn("level", F.coalesce(level["level"], F.lit(float("inf"))))
+    # Capping a source that fits lowers the level, so the highest level that fits is the right one.
+    level = F.max(F.when(fits, F.col("level"))).over(every)
+    sums = sums.withColumn("level", F.coalesce(level, F.lit(float("inf"))))
     return sums.select("source", "source_size", F.least(F.col("cap"), F.col("level") * F.col("weight")).alias("target"), "n")
 
 
