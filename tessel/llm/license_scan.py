@@ -167,13 +167,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
                     same = sum(m.size for m in SequenceMatcher(None, want, have, autojunk=False).get_matching_blocks())
                     share = same / len(want)
                     if share >= coverage:
-                        matches.append((-share, c["first"], c["last"], labels[c["template"]]))
+                        matches.append((-round(share, 1), -same, c["first"], c["last"], labels[c["template"]], share))
                 best: list[tuple] = []
                 for m in sorted(matches):  # where spans of two templates overlap, the better one counts
-                    if all(m[2] < o[1] or m[1] > o[2] or m[3] == o[3] for o in best):
+                    if all(m[3] < o[2] or m[2] > o[3] or m[4] == o[4] for o in best):
                         best.append(m)
                 if best:
-                    rows.append((doc, digest, sorted({m[3] for m in best}), -best[0][0]))
+                    rows.append((doc, digest, sorted({m[4] for m in best}), max(m[5] for m in best)))
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.float64()), strict=True)], ["doc_id", "digest", "more", "share"])
 
