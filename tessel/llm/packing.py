@@ -31,7 +31,7 @@ _PLAIN = _LETTERS + _DIGITS + _OTHER + b" \t\n\r"
 _PARTS = re.compile(rb"[" + re.escape(_LETTERS) + rb"]+|[0-9]|[" + re.escape(_OTHER) + rb"]+")
 _SPECIAL = re.compile(r"<\|(?:start|end)oftext\|>")
 #: Entries of a worker's memo of words; beyond it the memo starts anew. It changes no result.
-MEMO = 300_000
+MEMO = 600_000
 
 _coders: dict[str, tuple] = {}
 
@@ -50,7 +50,9 @@ class Coder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer, self.words, self.chunks = Tokenizer.from_file(path), {}, {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
     @staticmethod
     def parts(text: str) -> tuple[list[bytes], str]:
@@ -64,16 +66,33 @@ class Coder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.parts(t) for t in texts]
-        memo = self.memo
-        new = {(p, kind) for parts, kind in split for p in parts if (p if kind == "latin-1" else (p, kind)) not in memo}
-        if new:
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = {(p, kind) for parts, kind in split for p in parts}
-            new = list(new)
-            for (p, kind), e in zip(new, self.tokenizer.encode_batch_fast([p.decode(kind) for p, kind in new], add_special_tokens=False), strict=True):
-                memo[p if kind == "latin-1" else (p, kind)] = np.asarray(e.ids, "<u4").tobytes()
-        return [b"".join([memo[p] for p in parts]) if kind == "latin-1" else b"".join([memo[p, kind] for p in parts]) for parts, kind in split]
+        words = set().union(*(p for p, kind in split if kind == "latin-1"))
+        chunks = set().union(*(p for p, kind in split if kind == "utf-8"))
+        if len(self.words) > MEMO:
+            self.words.clear()
+        if len(self.chunks) > MEMO // 10:
+            self.chunks.clear()
+        if new := list(words.difference(self.words)):
+            self.words.update(zip(new, self._words(new), strict=True))
+        if new := list(chunks.difference(self.chunks)):
+            coded = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
+            self.chunks.update((p, np.asarray(e.ids, "<u4").tobytes()) for p, e in zip(new, coded, strict=True))
+        at = {"latin-1": self.words.__getitem__, "utf-8": self.chunks.__getitem__}
+        return [b"".join(map(at[kind], parts)) for parts, kind in split]
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of single words, a thousand to a call; the vocabulary marks the last id of each word."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 1000):
+            some = words[i : i + 1000]
+            ids = np.asarray(self.tokenizer.encode(b" ".join(some).decode("latin-1"), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some):
+                raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+                out += [raw[s:e] for s, e in zip(cuts, cuts[1:], strict=False)]
+            else:
+                out += [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([w.decode("latin-1") for w in some], add_special_tokens=False)]
+        return out
 
 
 def coder(path: str) -> Coder:
