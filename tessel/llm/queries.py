@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessel.llm import ann, chat_format, exact_dedup, license_scan, mixing, packing, secret_scan, suffix_dedup
+from tessel.llm import ann, chat_format, exact_dedup, jaccard_join, license_scan, mixing, packing, secret_scan, suffix_dedup
 from tessel.llm.sql import OP1_SQL, OP8_SQL
 
 
@@ -40,6 +40,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_license_scan": op6_license_scan,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
