@@ -26,14 +26,14 @@ WEIGHTS = (5, 2, 1)
 
 
 def with_sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of the whole text."""
+    """(doc_id, digest, source, size): words of the whole text, and a hash of it."""
 
     def sized(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["source"], pa.array(word_counts(b["text"]))], ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["digest"], b["source"], pa.array(word_counts(b["text"]))], ["doc_id", "digest", "source", "size"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("text"))
-    return base.mapInArrow(sized, "doc_id long, source string, size long")
+    return base.withColumn("digest", F.xxhash64("text")).mapInArrow(sized, "doc_id long, digest long, source string, size long")
 
 
 def targets(cells: DataFrame, weights=WEIGHTS, most: float = 3.0) -> DataFrame:
@@ -103,7 +103,7 @@ def solve(cells: DataFrame, goals: DataFrame, most: float, tolerance: float, ste
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: float = 3.0, tolerance: float = 1e-6, steps: int = 60) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies, taken for each row of ``docs``.
+    """doc_id, digest, source, size, source_size, target, rate, copies, taken for each row of ``docs``.
 
     ``docs`` has doc_id, text, source; ``weights`` repeat over the sources in code point order, null
     last. ``copies`` is the number of times the document is taken, at most ``most``.
@@ -144,4 +144,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = 3.0, tolerance: float =
     copies = F.floor(F.col("all_copies") / F.col("n")) + (F.col("nth") < F.col("all_copies") % F.col("n")).cast("long")
     joined = joined.withColumn("copies", copies.cast("long"))
     ends = small(goals, n_goals, 64).select(F.col("source").alias("s"), "source_size", "target")
-    return joined.join(ends, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return joined.join(ends, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "digest", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as many times as it is taken, columns unchanged.
+
+    Rows that repeat an id and a text are taken as often as all of them together.
+    """
+    taken = mix(docs, **options).groupBy("doc_id", "digest").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    taken = written(taken.withColumnsRenamed({"doc_id": "mix_id", "digest": "mix_digest", "copies": "mix_copies", "rows": "mix_rows"}), "mix-taken")
+    digest = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    again = taken.where("mix_rows > 1").limit(1).count()
+    base = docs.withColumn("mix_key", digest)
+    if again:
+        base = base.dropDuplicates(["doc_id", "mix_key"])
+    met = base.join(taken.where("mix_copies > 0"), base["doc_id"].cast("long").eqNullSafe(F.col("mix_id")) & (base["mix_key"] == F.col("mix_digest")))
+    return met.withColumn("mix_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

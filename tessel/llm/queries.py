@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessel.llm import ann, chat_format, exact_dedup, jaccard_join, license_scan, mixing, packing, secret_scan, suffix_dedup
+from tessel.llm import ann, chat_format, exact_dedup, jaccard_join, license_scan, mixing, packing, quality, secret_scan, suffix_dedup
 from tessel.llm.sql import OP1_SQL, OP8_SQL
 
 
@@ -48,6 +48,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = quality.classify(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "quality", "toxic", "host_quality", "path_quality", "kept")
+
+
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), k=5)
 
@@ -61,6 +67,7 @@ QUERIES = {
     "op6_license_scan": op6_license_scan,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
