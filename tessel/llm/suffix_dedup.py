@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm import textbytes as T
-from tessel.llm.common import small, written
+from tessel.llm.common import written
 
-GRAM = 24
+GRAM = 32
 #: Window starts handled at once; positions in a piece fit the low bits of a packed key.
 PIECE, LOW = 1 << 18, 20
 _MASK = np.uint64((1 << LOW) - 1)
@@ -70,11 +70,12 @@ def runs_of(at: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray,
     n = len(data) - length + 1
     if n <= 0:
         return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
+    gram = min(GRAM, length // 2)
     prefix, (_, inverse) = T.prefix_hash(data), T.powers(len(data) + 1)
     with np.errstate(over="ignore"):
-        grams = T.mix((prefix[GRAM:] - prefix[:-GRAM]) * inverse[: len(data) - GRAM + 1])
+        grams = T.mix((prefix[gram:] - prefix[:-gram]) * inverse[: len(data) - gram + 1])
     place = _MASK - np.arange(len(grams), dtype=np.uint64)
-    least = sliding_min((grams & ~_MASK) | place, length - GRAM + 1)
+    least = sliding_min((grams & ~_MASK) | place, length - gram + 1)
     valid = np.ones(n + 1, bool)
     valid[n] = False
     for end in at[1:-1]:  # a string doesn't cross two texts
@@ -295,10 +296,10 @@ def repeated_spans(docs: DataFrame, length: int = 100, crowd: int = 4096, parts:
 
     asked = met.where(F.col("kind") == ASKS).repartition(parts, "part").mapInArrow(by_doc(ASK, ("ask_doc", "asks"), lambda x: x), "ask_doc long, asks binary")
     asked = written(asked, "suffix-asks")
-    n_asked, size = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("asks")), F.lit(0))).first()
     spans = met.where(F.col("kind") == SPANS)
-    if n_asked:
-        with_text = docs.join(small(asked, n_asked, 32 + size // n_asked), docs["doc"] == F.col("ask_doc")).select("doc", "text", "asks")
+    if asked.limit(1).count():
+        # Most documents share an anchor with others, so this is a shuffle of their texts but for small tables.
+        with_text = docs.join(asked, docs["doc"] == F.col("ask_doc")).select("doc", "text", "asks")
 
         def fetch(batches):
             """Texts of plain runs go to their anchor's part, strings of crowded ones to their own."""
@@ -393,8 +394,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     else:
         base = unique = base.select("doc_id", F.col("doc_id").alias("doc"), "text")
     spans = written(repeated_spans(unique, length, crowd, parts), "suffix-removed").withColumnRenamed("doc", "span_doc")
-    n, size = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("spans")), F.lit(0))).first()
-    met = base.join(small(spans, n, 32 + size // max(n, 1)), F.col("doc") == F.col("span_doc"), "left").select("doc_id", "text", "spans")
+    met = base.join(spans, F.col("doc") == F.col("span_doc"), "left").select("doc_id", "text", "spans")
 
     def left(batches):
         for b in batches:
