@@ -1,4 +1,4 @@
-"""Connected components by least labels with shortcuts, a few grouped aggregations a round."""
+"""Connected components by contraction, a few grouped aggregations a round."""
 
 from __future__ import annotations
 
@@ -11,20 +11,25 @@ from tessel.llm.common import written
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for all nodes of ``edges`` (a long, b long): label is the least node of the component.
 
-    Each round a node takes the least label among its neighbours, and then its label's label, so chains
-    halve. State is written each round. A node with very many edges is pre-aggregated map-side, and its
-    partition of the join can be split. Loops and repeated edges are harmless.
+    In each round every node is replaced by the least of itself and its neighbours; what is left of the
+    edges goes on. At least half of the nodes with edges go each round, so rounds grow with the
+    logarithm of the nodes and the first is the largest. State is written each round. A node with very
+    many edges is pre-aggregated map-side, and its partition of a join can be split. Loops and repeated
+    edges are harmless.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
-    both = written(both, "components-edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "components-labels")
+    one_way = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    edges = written(edges.where("a != b").select(*one_way(F.col("a"), F.col("b"))).distinct(), "components-edges")
+    labels = None
     while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), F.col("label")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        moved = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        moved = written(moved, "components-moved")
-        jump = moved.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        moved = moved.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
-        moved = written(moved, "components-labels")
-        labels = moved.select("node", "label")
-        if not moved.where("label != old").limit(1).count():
+        ends = edges.select(F.col("a").alias("node"), F.col("a").alias("least")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("least")))
+        near = written(ends.groupBy("node").agg(F.min("least").alias("least")), "components-least")
+        if labels is None:
+            labels = near.select("node", F.col("least").alias("label"))
+        else:
+            step = near.select(F.col("node").alias("label"), "least")
+            labels = written(labels.join(step, "label", "left").select("node", F.coalesce("least", "label").alias("label")), "components-labels")
+        left, right = near.select(F.col("node").alias("a"), F.col("least").alias("x")), near.select(F.col("node").alias("b"), F.col("least").alias("y"))
+        edges = edges.join(left, "a").join(right, "b").where("x != y").select(*one_way(F.col("x"), F.col("y"))).distinct()
+        edges = written(edges, "components-edges")
+        if not edges.limit(1).count():
             return labels
