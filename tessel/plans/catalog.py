@@ -1,4 +1,367 @@
-"""Registry of the engine's queries and of the SQL that checks them."""
+"""The engine's queries by name; :mod:`tessel.plans.oracle` has the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessel.functions import constants as K
+from tessel.functions import decision, features
+from tessel.functions import vectors as V
+from tessel.operators import evaluate, ivf, kmeans, knn
+from tessel.operators.ranks import positions
+from tessel.plans.oracle import ORACLES
+from tessel.sources import index_store, payload, tables
+from tessel.streaming import score
+
+DIMS, BUCKETS = 64, 20
+NPROBES, ADAPTIVE = [1, 2, 4, 8, 20], [(1, 5), (3, 10), (5, 20)]
+
+
+def code(x: Column) -> Column:
+    return V.quantize_i16(x).cast("int")
+
+
+def _transactions(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.transactions(spark, sf)
+
+
+def _columns() -> dict[str, Column]:
+    names = ["amount", "installments", "requested_at", "customer_avg", "tx_count_24h", "known_merchants", "merchant_id", "mcc", "merchant_avg", "is_online", "card_present", "km_from_home", "last_at", "km_from_current"]
+    return {n: F.col(n) for n in names}
+
+
+def feat_amount_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    c = _columns()
+    return _transactions(spark, sf).select("event_id", code(features.amount(c["amount"])).alias("amount"), code(features.amount_vs_average(c["amount"], c["customer_avg"])).alias("ratio"), code(features.merchant_average(c["merchant_avg"])).alias("merchant"))
+
+
+def feat_calendar(spark: SparkSession, sf: str) -> DataFrame:
+    at = F.col("ts").cast("timestamp")
+    return tables.table(spark, sf, "events").select("event_id", code(features.hour_of_day(at)).alias("hour"), code(features.day_of_week(at)).alias("weekday"))
+
+
+def feat_since_last(spark: SparkSession, sf: str) -> DataFrame:
+    c = _columns()
+    return _transactions(spark, sf).select("event_id", code(features.minutes_since(c["requested_at"], c["last_at"])).alias("minutes"), code(features.kilometres_from_last(c["km_from_current"], c["last_at"])).alias("km"))
+
+
+def feat_tx_count_24h(spark: SparkSession, sf: str) -> DataFrame:
+    return _transactions(spark, sf).select("event_id", "tx_count_24h", code(features.transactions_24h(F.col("tx_count_24h"))).alias("code"))
+
+
+def feat_unknown_merchant(spark: SparkSession, sf: str) -> DataFrame:
+    c = _columns()
+    return _transactions(spark, sf).select("event_id", code(features.unknown_merchant(c["known_merchants"], c["merchant_id"])).alias("unknown"))
+
+
+def feat_mcc_risk(spark: SparkSession, sf: str) -> DataFrame:
+    return _transactions(spark, sf).select("event_id", "mcc", code(features.mcc_risk(F.col("mcc"))).alias("risk"))
+
+
+def _vector14(rows: DataFrame) -> DataFrame:
+    return rows.select("event_id", *[code(x).alias(f"f{i:02d}") for i, x in enumerate(features.vectorise(_columns()))])
+
+
+def feat_vector14(spark: SparkSession, sf: str) -> DataFrame:
+    return _vector14(_transactions(spark, sf))
+
+
+def json_payload_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """The features again, by way of JSON bodies with instants in other zones."""
+    zone = (F.col("event_id") % 5 - 2).cast("int")
+    bodies = _transactions(spark, sf).select("event_id", tables.payload_body(zone).alias("body"))
+    read = payload.with_features(bodies)
+    return read.select("event_id", *[code(F.col("vector")[i]).alias(f"f{i:02d}") for i in range(K.DIMS)])
+
+
+def json_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """Bodies damaged in seven ways by turns."""
+    body = F.when(F.col("event_id") % 7 == 0, "{bad").when(F.col("event_id") % 7 == 1, "[1]").when(F.col("event_id") % 7 == 2, "{}")
+    body = body.when(F.col("event_id") % 7 == 3, '{"transaction":{"amount":5.0,"installments":2.5}}').when(F.col("event_id") % 7 == 4, '{"transaction":{"amount":5000.0},"other":[1,{"x":2}]}')
+    body = body.when(F.col("event_id") % 7 == 5, '{"transaction":{"requested_at":"yesterday"}}')
+    read = payload.with_features(tables.table(spark, sf, "events").select("event_id", body.alias("body")))
+    return read.select("event_id", "fallback", code(F.col("vector")[0]).alias("amount"), code(F.col("vector")[4]).alias("weekday"), decision.response_body(F.when(~F.col("fallback"), F.lit(3))).alias("response"))
+
+
+def iso8601_offset(spark: SparkSession, sf: str) -> DataFrame:
+    hours = (F.col("event_id") % 5 - 2).cast("bigint")
+    local = F.date_format(F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + hours * 3_600_000_000), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    sign = F.when(hours < 0, "-").otherwise("+")
+    zone = F.when((hours == 0) & (F.col("event_id") % 2 == 0), "Z").when(hours == 0, "").when(hours == 1, F.lit("+0100")).otherwise(F.concat(sign, F.lit("0"), F.abs(hours).cast("string"), F.lit(":00")))
+    text = F.when(F.col("event_id") % 11 == 0, F.lit("2024-13-45 soon")).otherwise(F.concat(local, zone))
+    at = features.parse_iso8601(text)
+    return tables.table(spark, sf, "events").select("event_id", F.hour(at).alias("hour"), F.weekday(at).alias("weekday"), F.unix_micros(at).alias("micros"))
+
+
+def _refs(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.references(spark, sf)
+
+
+def _digest(spark: SparkSession, sf: str, column: str) -> DataFrame:
+    wide = F.transform(column, lambda x: x.cast("bigint"))
+    total = F.aggregate(wide, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    squares = F.aggregate(wide, F.lit(0).cast("bigint"), lambda a, x: a + x * x)
+    placed = F.aggregate(F.transform(wide, lambda x, i: x * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return _refs(spark, sf).select("ref_id", total.alias("total"), squares.alias("squares"), placed.alias("placed"))
+
+
+def quantize_i16(spark: SparkSession, sf: str) -> DataFrame:
+    return _digest(spark, sf, "q16")
+
+
+def quantize_i8(spark: SparkSession, sf: str) -> DataFrame:
+    return _digest(spark, sf, "q8")
+
+
+def _neighbour_distance(spark: SparkSession, sf: str, metric: str) -> DataFrame:
+    """Distances of every vector to the one with the next id: an equi-join, no pairs."""
+    qcol, rcol, distance = knn.METRICS[metric]
+    refs = _refs(spark, sf)
+    other = refs.select((F.col("ref_id") - 1).alias("ref_id"), F.col(rcol).alias("other"))
+    d = distance(F.col(rcol), F.col("other"), DIMS)
+    return refs.join(other, "ref_id").select("ref_id", (F.round(d, 6) if metric == "float" else d).alias("d"))
+
+
+def dist_i16(spark: SparkSession, sf: str) -> DataFrame:
+    return _neighbour_distance(spark, sf, "i16")
+
+
+def dist_i8_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    return _neighbour_distance(spark, sf, "i8")
+
+
+def dist_float(spark: SparkSession, sf: str) -> DataFrame:
+    return _neighbour_distance(spark, sf, "float")
+
+
+def _exact(spark: SparkSession, sf: str, metric: str) -> DataFrame:
+    refs = _refs(spark, sf)
+    return knn.exact(tables.search_queries(refs), refs, DIMS, metric)
+
+
+def knn_exact_i16(spark: SparkSession, sf: str) -> DataFrame:
+    return _exact(spark, sf, "i16").select("qid", "rk", "ref_id", "d")
+
+
+def knn_exact_i8(spark: SparkSession, sf: str) -> DataFrame:
+    return _exact(spark, sf, "i8").select("qid", "rk", "ref_id", "d")
+
+
+def knn_exact_float(spark: SparkSession, sf: str) -> DataFrame:
+    return _exact(spark, sf, "float").select("qid", "rk", "ref_id", F.round("d", 6).alias("d"))
+
+
+def knn_exact_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    refs = _refs(spark, sf)
+    return knn.exact(tables.search_queries(refs), refs, DIMS, "i16", strategy="arrow").select("qid", "rk", "ref_id", "d")
+
+
+def knn_vote(spark: SparkSession, sf: str) -> DataFrame:
+    votes = knn.vote(_exact(spark, sf, "i16"))
+    return votes.select("qid", "fc", F.round(F.col("fc") / 5, 1).alias("score"), "approved", decision.count_from_score(F.col("score")).alias("back"))
+
+
+def _centroids(refs: DataFrame) -> DataFrame:
+    """The first ids as centroids: integer and the same in any engine."""
+    return refs.where(F.col("ref_id") < BUCKETS).select(F.col("ref_id").alias("centroid_id"), F.col("q16").alias("c"))
+
+
+def _assigned(refs: DataFrame) -> DataFrame:
+    return ivf.assign(refs.select("ref_id", "q16", "fraud"), _centroids(refs), DIMS)
+
+
+def ivf_assign(spark: SparkSession, sf: str) -> DataFrame:
+    return _assigned(_refs(spark, sf)).select("ref_id", "bucket_id")
+
+
+def ivf_bucket_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return ivf.bucket_stats(ivf.bucket_counts(_assigned(_refs(spark, sf)), BUCKETS))
+
+
+def ivf_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    return ivf.bucket_counts(_assigned(_refs(spark, sf)), BUCKETS)
+
+
+def ivf_permutation(spark: SparkSession, sf: str) -> DataFrame:
+    return ivf.permutation(_assigned(_refs(spark, sf))).select("ref_id", "bucket_id", "pos")
+
+
+def label_bitset(spark: SparkSession, sf: str) -> DataFrame:
+    return ivf.label_bitset(ivf.permutation(_assigned(_refs(spark, sf))))
+
+
+def label_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels read back from the bit set."""
+    placed = ivf.permutation(_assigned(_refs(spark, sf)))
+    bits = ivf.label_bitset(placed)
+    met = placed.withColumn("byte_no", F.floor(F.col("pos") / 8)).join(bits, "byte_no")
+    return met.select("ref_id", decision.label_bit(F.col("bits"), F.col("pos")).alias("fraud"))
+
+
+def ivf_probe(spark: SparkSession, sf: str) -> DataFrame:
+    refs = _refs(spark, sf)
+    return ivf.probe(tables.search_queries(refs), _centroids(refs), DIMS, 8)
+
+
+def ivf_search(spark: SparkSession, sf: str) -> DataFrame:
+    refs = _refs(spark, sf)
+    return ivf.search(tables.search_queries(refs), _assigned(refs), _centroids(refs), DIMS, 4).select("qid", "fc", "approved")
+
+
+def ivf_search_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    refs = _refs(spark, sf)
+    return ivf.search(tables.search_queries(refs), _assigned(refs), _centroids(refs), DIMS, 4, "arrow").select("qid", "fc", "approved")
+
+
+def _adaptive(spark: SparkSession, sf: str, nlow: int = 3, nhigh: int = 10) -> DataFrame:
+    refs = _refs(spark, sf)
+    return ivf.adaptive(tables.search_queries(refs), _assigned(refs), _centroids(refs), DIMS, nlow, nhigh)
+
+
+def ivf_adaptive(spark: SparkSession, sf: str) -> DataFrame:
+    return _adaptive(spark, sf).select("qid", "scanned", "fc", "approved")
+
+
+def ivf_scanned(spark: SparkSession, sf: str) -> DataFrame:
+    return _adaptive(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.sum("scanned").alias("scanned"), F.round(F.avg("scanned"), 6).alias("avg_scanned"))
+
+
+def kmeans_step(spark: SparkSession, sf: str) -> DataFrame:
+    refs = _refs(spark, sf)
+    return kmeans.lloyd_step(_assigned(refs), "bucket_id", DIMS, BUCKETS)
+
+
+def kmeans_train(spark: SparkSession, sf: str) -> DataFrame:
+    """Centroids after 12 steps, and each one's number of references."""
+    refs = _refs(spark, sf)
+    centroids, _ = kmeans.train(refs, k=BUCKETS)
+    table = kmeans.centroid_table(spark, centroids)
+    counts = ivf.bucket_counts(ivf.assign(refs.select("ref_id", "q16", "fraud"), table.select("centroid_id", "c"), DIMS), BUCKETS)
+    return table.join(counts, F.col("centroid_id") == F.col("bucket_id")).select("centroid_id", "centroid", "cnt")
+
+
+def _expected(spark: SparkSession, sf: str) -> DataFrame:
+    return knn.vote(_exact(spark, sf, "i16")).select("qid", F.col("approved").alias("expected"))
+
+
+def _decisions(spark: SparkSession, sf: str) -> DataFrame:
+    return _adaptive(spark, sf).select("qid", "approved").join(_expected(spark, sf), "qid")
+
+
+def eval_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.with_scores(evaluate.confusion(_decisions(spark, sf))).select("n", "tp", "tn", "fp", "fn", "e", "fail_rate", "accuracy")
+
+
+def eval_det_score(spark: SparkSession, sf: str) -> DataFrame:
+    counts = evaluate.confusion(_decisions(spark, sf))
+    return counts.select("n", F.round(evaluate.det_score(), 6).alias("det_score"), F.round(evaluate.det_score_projected(), 6).alias("det_projected"))
+
+
+def eval_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    p50, p99 = evaluate.percentiles(tables.table(spark, sf, "events"), "value")
+    return spark.createDataFrame([(p50, p99)], "p50 double, p99 double")
+
+
+def eval_p99_score(spark: SparkSession, sf: str) -> DataFrame:
+    _, p99 = evaluate.percentiles(tables.table(spark, sf, "events"), "value")
+    scores = evaluate.confusion(_decisions(spark, sf)).withColumn("p99", F.lit(p99).cast("double"))
+    p, d = evaluate.p99_score(F.col("p99")), evaluate.det_score()
+    return scores.select("p99", F.round(p, 6).alias("p99_score"), F.round(p + d, 6).alias("final_score"))
+
+
+def sweep_nprobe(spark: SparkSession, sf: str) -> DataFrame:
+    refs = _refs(spark, sf)
+    got = ivf.sweep(tables.search_queries(refs), _assigned(refs), _centroids(refs), DIMS, NPROBES).join(_expected(spark, sf), "qid")
+    return evaluate.with_scores(evaluate.confusion(got, ("nprobe",))).select("nprobe", "n", "fp", "fn", "e", "det_score")
+
+
+def sweep_adaptive(spark: SparkSession, sf: str) -> DataFrame:
+    expected, out = _expected(spark, sf), None
+    for low, high in ADAPTIVE:
+        got = _adaptive(spark, sf, low, high).join(expected, "qid").select(F.lit(low).alias("nlow"), F.lit(high).alias("nhigh"), "scanned", "approved", "expected")
+        out = got if out is None else out.unionByName(got)
+    counts = evaluate.with_scores(evaluate.confusion(out, ("nlow", "nhigh")))
+    scanned = out.groupBy("nlow", "nhigh").agg(F.round(F.avg("scanned"), 6).alias("avg_scanned"))
+    return counts.join(scanned, ["nlow", "nhigh"]).select("nlow", "nhigh", "n", "fp", "fn", "e", "det_score", "avg_scanned")
+
+
+def diag_methods(spark: SparkSession, sf: str) -> DataFrame:
+    refs = _refs(spark, sf)
+    named = lambda df, name: df.select("qid", "approved", F.lit(name).alias("method"))
+    found = named(knn.vote(_exact(spark, sf, "float")), "exact_float").unionByName(named(knn.vote(_exact(spark, sf, "i8")), "exact_i8"))
+    found = found.unionByName(named(ivf.search(tables.search_queries(refs), _assigned(refs), _centroids(refs), DIMS, 8), "ivf_i16"))
+    counts = evaluate.confusion(found.join(_expected(spark, sf), "qid"), ("method",))
+    return counts.select("method", "n", "fp", "fn", evaluate.weighted_error().alias("e"), F.round(evaluate.det_score_projected(), 6).alias("det_projected"))
+
+
+def response_body(spark: SparkSession, sf: str) -> DataFrame:
+    return _adaptive(spark, sf).select("qid", decision.response_body(F.col("fc")).alias("body"))
+
+
+def _folder(spark: SparkSession) -> str:
+    """A folder that all executors see: the shared one if the session names it."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{shared.rstrip('/')}/{next(tempfile._get_candidate_names())}" if shared else tempfile.mkdtemp(prefix="tessel-")
+
+
+def index_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    refs = _refs(spark, sf)
+    path = _folder(spark)
+    index_store.write(path, ivf.permutation(_assigned(refs)), _centroids(refs), DIMS, BUCKETS)
+    vectors, _ = index_store.load(spark, path, DIMS)
+    total = F.aggregate("q16", F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
+    return vectors.select("ref_id", "part", "bucket_id", "pos", "fraud", total.alias("total"))
+
+
+def _transaction_index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, str]:
+    """An index of all transactions with 16 centroids, and all of them as requests, both written first."""
+    rows, path = _transactions(spark, sf), _folder(spark)
+    refs = rows.select(F.col("event_id").alias("ref_id"), F.array(*features.vectorise(_columns())).alias("vector"), F.col("fraud").cast("tinyint").alias("fraud"))
+    refs = refs.select("ref_id", V.quantize_vector_i16(F.col("vector")).alias("q16"), "fraud")
+    refs.write.parquet(f"{path}/references")
+    refs = spark.read.parquet(f"{path}/references")
+    centroids = refs.where("ref_id < 16").select(F.col("ref_id").alias("centroid_id"), F.col("q16").alias("c"))
+    index_store.write(f"{path}/index", ivf.permutation(ivf.assign(refs, centroids, K.DIMS)), centroids, K.DIMS, 16)
+    rows.select(F.col("event_id").alias("request_id"), tables.payload_body().alias("body")).write.parquet(f"{path}/requests")
+    return *index_store.load(spark, f"{path}/index"), path
+
+
+def score_batch(spark: SparkSession, sf: str) -> DataFrame:
+    vectors, centroids, path = _transaction_index(spark, sf)
+    return score.score_requests(spark.read.parquet(f"{path}/requests"), vectors, centroids, 1, 2, "arrow")
+
+
+def score_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """All events scored as a stream of files; the answers are read back."""
+    vectors, centroids, path = _transaction_index(spark, sf)
+    stream = spark.readStream.schema("request_id long, body string").parquet(f"{path}/requests")
+    run = score.score_stream(stream, vectors, centroids, f"{path}/scored", f"{path}/state", 1, 2)
+    run.awaitTermination()
+    return spark.read.parquet(f"{path}/scored").drop("batch")
+
+
+def round_robin(spark: SparkSession, sf: str) -> DataFrame:
+    return score.round_robin(tables.table(spark, sf, "events").select("event_id"), "event_id")
+
+
+def test_set_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A labelled test set written as JSON, read back in its order."""
+    rows = _transactions(spark, sf).select("event_id", tables.payload_body().alias("body"), "fraud")
+    parsed = payload.parse(F.col("body"))
+    read = positions(rows, [], "event_id", "entry").withColumn("p", parsed)
+    return read.select("entry", (~F.col("fraud")).alias("expected_approved"), F.col("p.merchant.id").alias("merchant"), F.col("p.transaction.installments").alias("installments"))
+
+
+QUERIES = {name: f for name, f in list(globals().items()) if name in {
+    "feat_amount_ratio", "feat_calendar", "feat_since_last", "feat_tx_count_24h", "feat_unknown_merchant", "feat_mcc_risk", "feat_vector14",
+    "json_payload_roundtrip", "json_fallback", "iso8601_offset", "quantize_i16", "quantize_i8", "dist_i16", "dist_i8_weighted", "dist_float",
+    "knn_exact_i16", "knn_exact_i8", "knn_exact_float", "knn_exact_blocks", "knn_vote", "ivf_assign", "ivf_bucket_stats", "ivf_offsets",
+    "ivf_permutation", "label_bitset", "label_roundtrip", "ivf_probe", "ivf_search", "ivf_search_blocks", "ivf_adaptive", "ivf_scanned",
+    "kmeans_step", "kmeans_train", "eval_confusion", "eval_det_score", "eval_percentiles", "eval_p99_score", "sweep_nprobe", "sweep_adaptive",
+    "diag_methods", "response_body", "index_roundtrip", "score_batch", "score_stream", "round_robin", "test_set_scan",
+}}
+
+__all__ = ["ORACLES", "QUERIES"]
