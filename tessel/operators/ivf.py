@@ -68,18 +68,28 @@ def label_bitset(placed: DataFrame) -> DataFrame:
     return placed.groupBy(F.floor(F.col("pos") / 8).alias("byte_no")).agg(F.bit_or(bit).alias("bits"))
 
 
-def probe(queries: DataFrame, centroids: DataFrame, dims: int, nprobe: int) -> DataFrame:
-    """(qid, rk, bucket_id, d): the nearest centroids of each query, ties to the lowest id."""
+def _with_probes(queries: DataFrame, centroids: DataFrame, dims: int, nprobe: int) -> DataFrame:
+    """``queries`` (qid, qv16) with ``by``: (d, bucket_id) of the nearest centroids in order."""
     table = centroids.agg(F.collect_list(F.struct("centroid_id", "c")).alias("table"))
     met = queries.select("qid", "qv16").join(F.broadcast(table))
     by = F.array_sort(F.transform("table", lambda e: F.struct(squared_distance(F.col("qv16"), e["c"], dims).alias("d"), e["centroid_id"].alias("bucket_id"))))
-    ranked = met.select("qid", F.posexplode(F.slice(by, 1, nprobe)).alias("rk", "e"))
-    return ranked.select("qid", (F.col("rk") + 1).alias("rk"), "e.bucket_id", "e.d")
+    return met.select("qid", "qv16", F.slice(by, 1, nprobe).alias("by"))
+
 
+def _exploded(probed: DataFrame, low: int, high: int) -> DataFrame:
+    """(qid, qv16, rk, bucket_id, d) of the probes of ranks ``low`` to ``high``."""
+    ranked = probed.select("qid", "qv16", F.posexplode(F.slice("by", low, high - low + 1)).alias("rk", "e"))
+    return ranked.select("qid", "qv16", (F.col("rk") + low).alias("rk"), "e.bucket_id", "e.d")
 
-def _rank_top(probes: DataFrame, queries: DataFrame, assigned: DataFrame, dims: int, strategy: str) -> DataFrame:
-    """(qid, rk, top): each probed bucket's own five nearest (d, rk, ref_id, fraud); blank if it is empty."""
-    asks = probes.select("qid", "rk", "bucket_id").join(queries.select("qid", "qv16"), "qid")
+
+def probe(queries: DataFrame, centroids: DataFrame, dims: int, nprobe: int) -> DataFrame:
+    """(qid, rk, bucket_id, d): the nearest centroids of each query, ties to the lowest id."""
+    return _exploded(_with_probes(queries, centroids, dims, nprobe), 1, nprobe).drop("qv16")
+
+
+def _rank_top(probes: DataFrame, assigned: DataFrame, dims: int, strategy: str) -> DataFrame:
+    """(qid, rk, top): the five nearest (d, rk, ref_id, fraud) in each probed bucket; none if it is empty."""
+    asks = probes.select("qid", "rk", "bucket_id", "qv16")
     if strategy == "arrow":
         near = _scan_blocks(asks, assigned)
     else:
@@ -87,9 +97,16 @@ def _rank_top(probes: DataFrame, queries: DataFrame, assigned: DataFrame, dims:
         pairs = pairs.select("qid", "rk", "ref_id", "fraud", squared_distance(F.col("qv16"), F.col("q16"), dims).alias("d"))
         own = Window.partitionBy("qid", "rk").orderBy("d", "ref_id")
         near = pairs.withColumn("n", F.row_number().over(own)).where(F.col("n") <= K.NEIGHBOURS)
-    tops = near.groupBy("qid", "rk").agg(F.collect_list(F.struct("d", "rk", "ref_id", "fraud")).alias("top"))
-    blank = F.array().cast(tops.schema["top"].dataType)
-    return probes.select("qid", "rk").join(tops, ["qid", "rk"], "left").select("qid", "rk", F.coalesce("top", blank).alias("top"))
+    return near.groupBy("qid", "rk").agg(F.collect_list(F.struct("d", "rk", "ref_id", "fraud")).alias("top"))
+
+
+def _five(tops):
+    """The five nearest of an array of arrays."""
+    return F.slice(F.array_sort(F.flatten(tops)), 1, K.NEIGHBOURS)
+
+
+def _frauds(five):
+    return F.aggregate(five, F.lit(0), lambda a, e: a + e["fraud"].cast("int"))
 
 
 def _scan_blocks(asks: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -122,11 +139,15 @@ def _scan_blocks(asks: DataFrame, assigned: DataFrame) -> DataFrame:
     return found.withColumn("n", F.row_number().over(own)).where(F.col("n") <= K.NEIGHBOURS)
 
 
-def _prefix_votes(tops: DataFrame) -> DataFrame:
-    """(qid, rk, fc): frauds among the five nearest of the buckets up to each rank."""
+def _prefix_votes(ranks: DataFrame, tops: DataFrame) -> DataFrame:
+    """(qid, rk, fc) for all ``ranks`` (qid, rk): frauds among the five nearest up to each rank.
+
+    A rank whose bucket was empty has no row in ``tops`` but counts as scanned.
+    """
+    blank = F.array().cast(tops.schema["top"].dataType)
+    every = ranks.select("qid", "rk").join(tops, ["qid", "rk"], "left").select("qid", "rk", F.coalesce("top", blank).alias("top"))
     along = Window.partitionBy("qid").orderBy("rk").rowsBetween(Window.unboundedPreceding, 0)
-    five = F.slice(F.array_sort(F.flatten(F.collect_list("top").over(along))), 1, K.NEIGHBOURS)
-    return tops.select("qid", "rk", F.aggregate(five, F.lit(0), lambda a, e: a + e["fraud"].cast("int")).alias("fc"))
+    return every.select("qid", "rk", _frauds(_five(F.collect_list("top").over(along))).alias("fc"))
 
 
 def search(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, dims: int, nprobe: int, strategy: str = "relational") -> DataFrame:
@@ -139,8 +160,8 @@ def sweep(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, dims: i
     spark = queries.sparkSession
     k = centroids.count()
     wanted = [min(max(n, 1), k) for n in nprobes]
-    probes = probe(queries, centroids, dims, max(wanted))
-    votes = _prefix_votes(_rank_top(probes, queries, assigned, dims, strategy))
+    probes = _exploded(_with_probes(queries, centroids, dims, max(wanted)), 1, max(wanted))
+    votes = _prefix_votes(probes, _rank_top(probes, assigned, dims, strategy))
     at = spark.createDataFrame([(n, w) for n, w in zip(nprobes, wanted, strict=True)], "nprobe int, rk int")
     return votes.join(F.broadcast(at), "rk").select("qid", "nprobe", "fc", fraud_score(F.col("fc")).alias("score"), approved(F.col("fc")).alias("approved"))
 
@@ -148,23 +169,21 @@ def sweep(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, dims: i
 def adaptive(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, dims: int, nlow: int = K.NLOW, nhigh: int = K.NHIGH, strategy: str = "relational") -> DataFrame:
     """(qid, scanned, fc, score, approved), in two passes.
 
-    All queries scan ``nlow`` buckets; only those whose five nearest disagree scan on to ``nhigh``.
+    All queries scan ``nlow`` buckets, which leaves one row each with its five nearest; only those whose
+    five disagree scan on to ``nhigh``, and their prefix votes start from those five.
     """
     k = centroids.count()
     nlow, nhigh = clamp_probes(k, nlow, nhigh)
-    probes = probe(queries, centroids, dims, nhigh)
-    first = _rank_top(probes.where(F.col("rk") <= nlow), queries, assigned, dims, strategy)
-    early = _prefix_votes(first).where((F.col("rk") == nlow) & F.col("fc").isin(0, K.NEIGHBOURS))
-    done = early.select("qid", F.col("rk").alias("scanned"), "fc")
+    probed = _with_probes(queries, centroids, dims, nhigh)
+    tops = _rank_top(_exploded(probed, 1, nlow), assigned, dims, strategy)
+    near = tops.groupBy("qid").agg(_five(F.collect_list("top")).alias("top")).withColumnRenamed("qid", "q")
+    first = probed.join(near, F.col("qid") == F.col("q"), "left").withColumn("fc", F.coalesce(_frauds(F.col("top")), F.lit(0)))
+    ranks, found = first.select("qid", F.lit(nlow).alias("rk")), first.where("top is not null").select("qid", F.lit(nlow).alias("rk"), "top")
     if nlow < nhigh:
-        undecided = queries.join(early.select("qid"), "qid", "left_anti")
-        more = _rank_top(probes.where(F.col("rk") > nlow).join(undecided.select("qid"), "qid", "left_semi"), undecided, assigned, dims, strategy)
-        every = first.join(undecided.select("qid"), "qid", "left_semi").unionByName(more)
-        later = _prefix_votes(every).where(F.col("rk") >= nlow)
-        stop = later.groupBy("qid").agg(F.coalesce(F.min(F.when(F.col("fc").isin(0, K.NEIGHBOURS), F.col("rk"))), F.max("rk")).alias("scanned"))
-        rest = later.join(stop, "qid").where("rk = scanned").select("qid", "scanned", "fc")
-        done = done.unionByName(rest)
-    else:
-        undecided = _prefix_votes(first).where((F.col("rk") == nlow) & ~F.col("fc").isin(0, K.NEIGHBOURS))
-        done = done.unionByName(undecided.select("qid", F.col("rk").alias("scanned"), "fc"))
-    return done.select("qid", "scanned", "fc", fraud_score(F.col("fc")).alias("score"), approved(F.col("fc")).alias("approved"))
+        on = _exploded(first.where(~F.col("fc").isin(0, K.NEIGHBOURS)), nlow + 1, nhigh)
+        ranks, found = ranks.unionByName(on.select("qid", "rk")), found.unionByName(_rank_top(on, assigned, dims, strategy))
+    votes = _prefix_votes(ranks, found)
+    stop = F.min(F.when(F.col("fc").isin(0, K.NEIGHBOURS), F.struct("rk", "fc")))
+    done = votes.groupBy("qid").agg(F.coalesce(stop, F.max(F.struct("rk", "fc"))).alias("stop"))
+    fc = F.col("stop.fc")
+    return done.select("qid", F.col("stop.rk").alias("scanned"), fc.alias("fc"), fraud_score(fc).alias("score"), approved(fc).alias("approved"))
