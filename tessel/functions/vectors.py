@@ -13,19 +13,25 @@ from pyspark.sql import functions as F
 from tessel.functions import constants as K
 
 
+def _rounded(x: Column) -> Column:
+    """float32 ``x`` to a whole number, half away from zero, without decimals per value."""
+    x = x.cast("double")
+    return F.when(x < 0, -F.floor(F.lit(0.5) - x)).otherwise(F.floor(x + F.lit(0.5)))
+
+
 def quantize_i16(x: Column) -> Column:
     """float32 to int16 codes: times 10000, rounded half away from zero, saturated."""
-    code = F.round(x.cast("float") * F.lit(K.SCALE_I16).cast("float"))
-    return F.when(code > 32767, 32767).when(code < -32768, -32768).otherwise(code).cast("smallint")
+    code = _rounded(x.cast("float") * F.lit(K.SCALE_I16).cast("float"))
+    return F.when(code.isNotNull(), F.greatest(F.lit(-32768), F.least(F.lit(32767), code))).cast("smallint")
 
 
 def quantize_i8(x: Column, sentinel: bool | Column = False) -> Column:
     """float32 to 0..255 (as smallint); dimensions with a sentinel map -1..1, others 0..1."""
     x = x.cast("float")
-    shifted = F.round((x + F.lit(1.0).cast("float")) * F.lit(127.5).cast("float"))
-    plain = F.round(x * F.lit(255.0).cast("float"))
-    code = F.when(sentinel if isinstance(sentinel, Column) else F.lit(sentinel), shifted).otherwise(plain)
-    return F.when(code > 255, 255).when(code < 0, 0).otherwise(code).cast("smallint")
+    shifted = (x + F.lit(1.0).cast("float")) * F.lit(127.5).cast("float")
+    plain = x * F.lit(255.0).cast("float")
+    code = _rounded(F.when(sentinel if isinstance(sentinel, Column) else F.lit(sentinel), shifted).otherwise(plain))
+    return F.when(code.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(255), code))).cast("smallint")
 
 
 def quantize_vector_i16(v: Column) -> Column:

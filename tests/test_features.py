@@ -69,6 +69,7 @@ def test_iso8601(spark, text, hour, day):
 def test_quantisers(spark):
     i16 = lambda x: one(spark, vectors.quantize_i16(F.lit(x).cast("float")))
     assert [i16(x) for x in (1.0, -1.0, 0.00005, -0.00005, 9.0, -9.0)] == [10000, -10000, 1, -1, 32767, -32768]
+    assert one(spark, vectors.quantize_i16(F.lit(None).cast("float"))) is None
     i8 = lambda x, s: one(spark, vectors.quantize_i8(F.lit(x).cast("float"), s))
     assert [i8(1.0, False), i8(-1.0, False), i8(-1.0, True), i8(1.0, True), i8(0.0, True)] == [255, 0, 0, 255, 128]
 
