@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from tessel.functions import vectors as V
 from tessel.operators import evaluate, ivf, kmeans, knn
 from tessel.operators.ranks import positions
 from tessel.plans.oracle import ORACLES
+from tessel.session import scratch_folder
 from tessel.sources import index_store, payload, tables
 from tessel.streaming import score
 
@@ -301,15 +300,9 @@ def response_body(spark: SparkSession, sf: str) -> DataFrame:
     return _adaptive(spark, sf).select("qid", decision.response_body(F.col("fc")).alias("body"))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A folder that all executors see: the shared one if the session names it."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared.rstrip('/')}/{next(tempfile._get_candidate_names())}" if shared else tempfile.mkdtemp(prefix="tessel-")
-
-
 def index_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     refs = _refs(spark, sf)
-    path = _folder(spark)
+    path = scratch_folder(spark)
     index_store.write(path, ivf.permutation(_assigned(refs)), _centroids(refs), DIMS, BUCKETS)
     vectors, _ = index_store.load(spark, path, DIMS)
     total = F.aggregate("q16", F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
@@ -318,7 +311,7 @@ def index_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 def _transaction_index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, str]:
     """An index of all transactions with 16 centroids, and all of them as requests, both written first."""
-    rows, path = _transactions(spark, sf), _folder(spark)
+    rows, path = _transactions(spark, sf), scratch_folder(spark)
     refs = rows.select(F.col("event_id").alias("ref_id"), F.array(*features.vectorise(_columns())).alias("vector"), F.col("fraud").cast("tinyint").alias("fraud"))
     refs = refs.select("ref_id", V.quantize_vector_i16(F.col("vector")).alias("q16"), "fraud")
     refs.write.parquet(f"{path}/references")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -22,3 +25,17 @@ def session(name: str = "tessel", master: str | None = None, **extra: str) -> Sp
     for key, value in (SETTINGS | {k.replace("__", "."): str(v) for k, v in extra.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder's path that driver and executors share: under ``spark.checkpoint.dir``.
+
+    Only where that is unset and the master is local is it a temporary folder of this machine.
+    """
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return f"{shared.rstrip('/')}/tessel-scratch-{uuid.uuid4().hex[:12]}"
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tessel-")

@@ -4,7 +4,7 @@ import pytest
 
 from tessel import cli
 from tessel.plans import golden
-from tessel.session import session
+from tessel.session import scratch_folder, session
 
 
 @pytest.fixture()
@@ -43,3 +43,7 @@ def test_build_validate_and_diag(spark, files, capsys):
 
 def test_session_keeps_the_settings(spark):
     assert session().conf.get("spark.sql.session.timeZone") == "UTC"
+
+
+def test_scratch_folders_are_apart(spark):
+    assert scratch_folder(spark) != scratch_folder(spark)
