@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessel.llm.common import small_batches
+
 #: Kinds in the order in which spans of equal start are listed; the first three are pattern matches.
 KINDS = ("assign", "access", "hex", "der_key", "ssh_key", "token")
 
@@ -26,13 +28,13 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
 # Candidates begin with what the encoding makes of the structure's first bytes, so few are decoded.
-_DER64 = re.compile(r"M(?<![A-Za-z0-9+/_-]M)[A-Za-z0-9+/_-]{39,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+_DER64 = re.compile(r"M(?<![A-Za-z0-9+/_-]M)[A-Za-z0-9+/_-]{39,}(?:\r?\n[A-Za-z0-9+/_-]+){0,1400}={0,2}")
 _DER16 = re.compile(r"30(?<![0-9A-Fa-f]30)[0-9A-Fa-f]{46,}")
-_SSH64 = re.compile(r"b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/]+(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
+_SSH64 = re.compile(r"b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/]+(?:\r?\n[A-Za-z0-9+/]+){0,1400}={0,2}")
 _TOKEN = re.compile(r"eyJ(?<![A-Za-z0-9_-]eyJ)[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 #: Bytes of the signatures of signed tokens, by algorithm (fixed by RFC 7518); None: any of 64 or more.
 SIGNATURES = {"none": 0, "HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "EdDSA": 64, "RS256": None, "RS384": None, "RS512": None, "PS256": None, "PS384": None, "PS512": None}
-#: No key is longer than this; what follows a structure's own end is not decoded.
+#: No key is longer than this (1400 lines of base64); what follows a structure's own end is not decoded.
 MOST_KEY_BYTES = 1 << 16
 
 
@@ -110,7 +112,7 @@ def ssh_private_key(data: bytes) -> int:
 
 def _base64(text: str, bytes_needed: int | None = None) -> bytes:
     """The bytes that the longest decodable beginning of ``text`` stands for."""
-    plain = re.sub(r"[\r\n=]", "", text).translate(str.maketrans("-_", "+/"))
+    plain = re.sub(r"[\r\n=]", "", text[: 2 * MOST_KEY_BYTES]).translate(str.maketrans("-_", "+/"))
     plain = plain[: 4 * (MOST_KEY_BYTES // 3)]
     plain = plain[: len(plain) - (len(plain) % 4 == 1)]
     try:
@@ -157,20 +159,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _decoded(pattern: re.Pattern, text: str, parse, kind: int) -> list[tuple[int, int, int]]:
+    """Spans of base64 candidates that parse; after one that doesn't, the search goes on at its next line."""
+    out, at = [], 0
+    while m := pattern.search(text, at):
+        if n := parse(_base64(m[0])):
+            at = _encoded_end(text, m.start(), m.end(), n)
+            out.append((m.start(), kind, at))
+        else:
+            line = text.find("\n", m.start(), m.end())
+            at = line + 1 if line >= 0 else m.end()
+    return out
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of decoded candidates that parse."""
     out = []
-    for m in _DER64.finditer(text):
-        if n := der_private_key(_base64(m[0])):
-            out.append((m.start(), 3, _encoded_end(text, m.start(), m.end(), n)))
+    out += _decoded(_DER64, text, der_private_key, 3)
     for m in _DER16.finditer(text):
         digits = m[0][: 2 * min(MOST_KEY_BYTES, len(m[0]) // 2)]
         if n := der_private_key(bytes.fromhex(digits)):
             out.append((m.start(), 3, m.start() + 2 * n))
     if "b3BlbnNzaC1rZXktdjEA" in text:
-        for m in _SSH64.finditer(text):
-            if n := ssh_private_key(_base64(m[0])):
-                out.append((m.start(), 4, _encoded_end(text, m.start(), m.end(), n)))
+        out += _decoded(_SSH64, text, ssh_private_key, 4)
     if "eyJ" in text:
         out += [(m.start(), 5, m.end()) for m in _TOKEN.finditer(text) if token_confirmed(m[0])]
     return out
@@ -206,5 +217,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_confirmed"]
     types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return base.mapInArrow(scanned, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long")

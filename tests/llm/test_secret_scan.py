@@ -45,6 +45,11 @@ def test_keys_and_tokens_are_confirmed():
     assert found(f"bearer {TOKEN}.") == [("token", TOKEN)]
 
 
+def test_key_after_a_lookalike_line():
+    plain = base64.b64encode(EC).decode()
+    assert found("M" * 50 + "\n" + plain) == [("der_key", plain)]
+
+
 def test_lookalikes_are_not():
     broken = RSA[:3] + bytes([RSA[3] ^ 1]) + RSA[4:]
     for data in (broken, RSA[:-9], b"\x30\x82" + bytes(300), tlv(0x30, tlv(0x30, tlv(6, b"\x2a")), tlv(3, bytes(66)))):
