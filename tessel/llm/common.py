@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -17,15 +18,26 @@ BROADCAST_BYTES = 32 << 20
 #: The white space of the contracts, ``[\x20\x09-\x0D]``.
 SPACES = " \t\n\x0b\x0c\r"
 
+#: Rows of an Arrow batch of texts at most, which bounds the memory of a Python worker beside its JVM.
+BATCH_ROWS = 1000
+
 _scratch: dict[str, str] = {}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to :data:`BATCH_ROWS` rows if they are larger; no result hangs on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, ``spark.checkpoint.dir``; a temporary one only on a local master."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if "local" not in _scratch:
         _scratch["local"] = tempfile.mkdtemp(prefix="tessel-")
@@ -39,12 +51,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     root = f"{shared_dir(spark)}/tessel-{app}"
     if root not in _scratch.values():
         _scratch[app] = root
-        atexit.register(release, spark)
+        atexit.register(_release_quietly, spark)
     path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _release_quietly(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone when the interpreter ends
+        release(spark)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables that :func:`written` has made for this application."""
     root = _scratch.pop(spark.sparkContext.applicationId, None) if spark.sparkContext._jsc else None

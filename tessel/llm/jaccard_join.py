@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm import textbytes as T
-from tessel.llm.common import small, without, written
+from tessel.llm.common import small, small_batches, without, written
 from tessel.llm.components import components
 
 _rng = np.random.Generator(np.random.PCG64(8128))
@@ -177,6 +177,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
       no list of candidates has a cap. Other columns are not read. An empty table gives no rows.
     """
     depth = forest_depth(threshold, recall)
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def signed(batches):

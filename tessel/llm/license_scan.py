@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessel.llm import textbytes as T
-from tessel.llm.common import small, written
+from tessel.llm.common import small, small_batches, written
 
 #: The base phrases (words in order) and their labels.
 PHRASES = {
@@ -95,6 +95,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     * Other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.withColumn("digest", F.xxhash64("text"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessel.llm.common import salted_rank, small, written
+from tessel.llm.common import salted_rank, small, small_batches, written
 from tessel.llm.textbytes import word_counts
 
 WEIGHTS = (5, 2, 1)
@@ -114,7 +114,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = 3.0, tolerance: float =
     * If no document has a word, all targets are 0. An empty table gives no rows.
     * Reruns agree: the extra copies of equally long documents of a source go by a hash of the id.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     sized = written(with_sizes(docs), "mix-sizes")
     cells = written(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-cells")
     goals = written(targets(cells, weights, most), "mix-targets")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import salted_rank, written
+from tessel.llm.common import salted_rank, small_batches, written
 
 #: Latin-1, lower case: the tokenizer's letters and digits (fixed by the pre-tokenizer's pattern).
 _LETTERS = bytes(c for c in range(256) if chr(c).isalpha())
@@ -31,7 +31,7 @@ _PLAIN = _LETTERS + _DIGITS + _OTHER + b" \t\n\r"
 _PARTS = re.compile(rb"[" + re.escape(_LETTERS) + rb"]+|[0-9]|[" + re.escape(_OTHER) + rb"]+")
 _SPECIAL = re.compile(r"<\|(?:start|end)oftext\|>")
 #: Entries of a worker's memo of words; beyond it the memo starts anew. It changes no result.
-MEMO = 600_000
+MEMO = 400_000
 
 _coders: dict[str, tuple] = {}
 
@@ -123,6 +123,7 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator:
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     if keep_ids:
         names, types, schema = [*names, "ids"], [*types, pa.binary()], schema + ", ids binary"
+    small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return base.mapInArrow(cut, schema)
 

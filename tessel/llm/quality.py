@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm import textbytes as T
-from tessel.llm.common import small, written
+from tessel.llm.common import small, small_batches, written
 
 #: Labelled documents that the model is fitted on at most, the first by a hash of the id.
 SAMPLE = 12_000
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     Of ``labels`` (doc_id, quality, toxic) rows with a null are passed over, of repeated ids one counts.
     Heads are chosen on half of the documents, the logistic models fitted on the others.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).dropna()
     known = known.withColumn("order", F.xxhash64("label_id")).orderBy("order", "label_id", "quality", "toxic").limit(sample).dropDuplicates(["label_id"])
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
@@ -177,7 +177,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if held:
         held.sort(key=lambda r: (r["x"], r["quality"], r["toxic"]))
         model.fit(np.array([r["x"] for r in held]), np.array([[r["quality"] > 0, r["toxic"] > 0] for r in held], float))
-    assert spark
     return model
 
 
@@ -205,6 +204,7 @@ def classify(docs: DataFrame, model: Model, site: Column | None = None, threshol
     * Repeated rows get equal results. An empty table gives no rows. ``docs`` has doc_id, text and what
       ``site`` needs; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     site = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))) if site is None else site
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), site.alias("path"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("digest", F.xxhash64("text"))

@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm import textbytes as T
-from tessel.llm.common import written
+from tessel.llm.common import small_batches, written
 
 GRAM = 32
 #: Window starts handled at once; positions in a piece fit the low bits of a packed key.
 PIECE, LOW = 1 << 18, 20
+#: Runs that a map task gathers before it settles the repeats among them and sends the rest.
+SETTLE = 1_000_000
 _MASK = np.uint64((1 << LOW) - 1)
 
 #: A run: anchor hash, content hash, document, first string's start, number of strings.
@@ -232,9 +234,15 @@ def repeated_spans(docs: DataFrame, length: int = 100, crowd: int = 4096, parts:
     spark = docs.sparkSession
     parts = parts or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
+    def settled(found: list[np.ndarray]) -> pa.RecordBatch:
+        first, later = settle(np.concatenate(found))
+        gone = joined(span_rows(later, length))
+        return packed_batch([*packed(RUNS, first, spread(first["h"], parts)), *packed(SPANS, gone, spread(gone["doc"], parts))])
+
     def cut(batches):
+        found, held = [], 0
         for b in batches:
-            ids, found = b["doc"].to_numpy(), []
+            ids = b["doc"].to_numpy()
             for row, offset, at, data in pieces(b["text"], length):
                 h, r, s, n = runs_of(at, data, length)
                 if not len(h):
@@ -243,10 +251,12 @@ def repeated_spans(docs: DataFrame, length: int = 100, crowd: int = 4096, parts:
                 doc = np.searchsorted(at, s, "right") - 1
                 runs["h"], runs["r"], runs["doc"], runs["s"], runs["n"] = h, r, ids[row + doc], s - at[doc] + offset, n
                 found.append(runs)
-            if found:
-                first, later = settle(np.concatenate(found))
-                gone = joined(span_rows(later, length))
-                yield packed_batch([*packed(RUNS, first, spread(first["h"], parts)), *packed(SPANS, gone, spread(gone["doc"], parts))])
+                held += len(runs)
+            if held >= SETTLE:
+                yield settled(found)
+                found, held = [], 0
+        if found:
+            yield settled(found)
 
     def gathered(batches) -> tuple[np.ndarray, list]:
         runs, through = [], []
@@ -383,6 +393,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     * Equal runs are told by 128 bits of hashes, edges by their bytes. Texts may have up to 2 GiB.
     * Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = base.groupBy("doc_id").count()
     if ids.where("count > 1 or doc_id is null").limit(1).count():
