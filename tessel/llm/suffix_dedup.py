@@ -37,7 +37,9 @@ GRAM = 32
 #: Window starts handled at once; positions in a piece fit the low bits of a packed key.
 PIECE, LOW = 1 << 18, 20
 #: Runs that a map task gathers before it settles the repeats among them and sends the rest.
-SETTLE = 1_000_000
+SETTLE = 250_000
+#: Strings that are put in suffix order at once; together they take about 400 bytes each.
+STRINGS = 25_000
 _MASK = np.uint64((1 << LOW) - 1)
 
 #: A run: anchor hash, content hash, document, first string's start, number of strings.
@@ -226,7 +228,7 @@ def joined(spans: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, crowd: int = 4096, parts: int | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 100, crowd: int = 1024, parts: int | None = None) -> DataFrame:
     """(doc, spans): for documents that lose bytes, the joined spans as packed (start, end) pairs.
 
     ``docs`` has doc (long, unique, in document order) and text, without nulls.
@@ -366,10 +368,10 @@ def repeated_spans(docs: DataFrame, length: int = 100, crowd: int = 4096, parts:
             starts = np.cumsum(sizes) - sizes
             order = np.argsort(asks["h"], kind="stable")
             asks, starts = asks[order], starts[order]
-            # Anchors in groups of about 100,000 strings; an anchor's runs stay together.
+            # Anchors in groups of about STRINGS strings; an anchor's runs stay together.
             total = np.cumsum(asks["n"].astype(np.int64))
             edge = np.flatnonzero(np.concatenate(([True], asks["h"][1:] != asks["h"][:-1])))
-            group = total[edge] // 100_000
+            group = total[edge] // STRINGS
             cuts = edge[np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))]
             for s, e in zip(cuts, [*cuts[1:], len(asks)], strict=True):
                 gone = repeated_strings(asks[s:e], starts[s:e], data, length)
@@ -381,7 +383,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, crowd: int = 4096, parts:
     return spans.repartition(parts, "part").mapInArrow(by_doc(SPAN, ("doc", "spans"), joined), "doc long, spans binary")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, crowd: int = 4096, parts: int | None = None, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, crowd: int = 1024, parts: int | None = None, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the bytes left) per row of ``docs``.
 
     Documents go by id; a byte goes if some string of ``length`` bytes over it starts in an earlier
