@@ -10,8 +10,6 @@ from tessel.functions.vectors import quantize_vector_i16, quantize_vector_i8
 
 #: Merchant categories by key, two of them without a risk of their own.
 MCCS = ["5411", "5812", "5912", "5944", "7801", "7802", "7995", "4511", "5311", "5999", "0000", None]
-#: Earlier merchants that a request carries at most.
-KNOWN = 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,9 +28,10 @@ def search_queries(refs: DataFrame) -> DataFrame:
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One transaction per row of ``events``; running windows by user, no gathered history.
+    """One transaction per row of ``events``; running windows by user.
 
-    Money is whole hundredths inside windows, so sums don't hang on the order of the rows.
+    ``known_merchants`` holds each merchant of all the user's earlier events once, in order of their names, so a
+    row grows with the merchants and not with the history. Money is whole hundredths inside windows, so sums don't hang on the order of the rows.
     """
     k = F.get_json_object("props", "$.k").cast("int")
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts"), k.alias("k"), F.round(F.col("value") * 100).cast("bigint").alias("cents"))
@@ -45,7 +44,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "*",
         F.when(n > 0, total * 20 / 100.0 / n).otherwise(F.lit(0.0)).alias("customer_avg"),
         (F.count(F.lit(1)).over(day) - 1).cast("int").alias("tx_count_24h"),
-        F.collect_list(F.concat(F.lit("MERC-"), F.lpad(F.col("k").cast("string"), 3, "0"))).over(user.rowsBetween(-KNOWN, -1)).alias("known_merchants"),
+        F.array_sort(F.collect_set(F.concat(F.lit("MERC-"), F.lpad(F.col("k").cast("string"), 3, "0"))).over(before)).alias("known_merchants"),
         F.lag("ts").over(user).alias("last_ts"),
         F.lag("k").over(user).alias("last_k"),
     )
