@@ -45,6 +45,32 @@ def test_keys_and_tokens_are_confirmed():
     assert found(f"bearer {TOKEN}.") == [("token", TOKEN)]
 
 
+WRAPPED = {
+    "escaped": "\\n", "escaped twice": "\\\\n", "escaped crlf": "\\r\\n", "json unicode": "\\u000a", "lf": "\n", "crlf": "\r\n", "indented": "\n    ", "tabs": "\n\t",
+    "quoted": "\n> ", "quoted twice": "\n> > ", "trailing": "  \n", "blank": " ", "blanks": "   ", "comment": "\n# ", "strings": '"\n  "', "strings added": '\\n" +\n  "', "none": "",
+}
+
+
+def test_keys_of_several_lines_however_joined():
+    for joint in WRAPPED.values():
+        for kind, name, keys in (("der_key", "PRIVATE KEY", (RSA, PKCS8, EC)), ("ssh_key", "OPENSSH PRIVATE KEY", (SSH,))):
+            for key in keys:
+                for plain in (base64.b64encode(key).decode(), url(key), key.hex(), key.hex().upper()):
+                    lines = joint.join(plain[i : i + 64] for i in range(0, len(plain), 64))
+                    for before, after in ((f"-----BEGIN {name}-----{joint}", f"{joint}-----END {name}-----{joint}and the words after it"), (f"see{joint} ", " and the words after it"), ('"k": "\\n', '"')):
+                        assert [f for f in found(before + lines + after) if f[0] in ("der_key", "ssh_key")] == [(kind, lines)], (joint, before)
+    assert found(f'{{"t": "a\\n{TOKEN}"}}') == [("token", TOKEN)]
+
+
+def test_words_after_a_cut_key_are_not_its_end():
+    plain = base64.b64encode(RSA[:-60]).decode()
+    for joint in ("\n", " ", "\\n", "\n  "):
+        lines = joint.join(plain[i : i + 64] for i in range(0, len(plain), 64))
+        assert found(f"{lines}{joint}-----END RSA PRIVATE KEY-----{joint}" + "more words " * 50) == []
+        assert found(lines + " and so on, more words " * 50) == []
+        assert found(lines + " and so on with more words" * 50) == []
+
+
 def test_key_after_a_lookalike_line():
     plain = base64.b64encode(EC).decode()
     assert found("M" * 50 + "\n" + plain) == [("der_key", plain)]
