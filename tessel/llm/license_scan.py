@@ -2,14 +2,14 @@
 
 Every k-gram of words of every document is hashed and joined, in Spark, to the positions of the
 license templates. A hit at word p of a document and word t of a template votes for the diagonal
-p - t; votes are summed for each diagonal, diagonals a few words apart (inserted or dropped words) are
-merged, and the spans with enough votes are compared with the template word by word. Besides that,
-the base phrases are found exactly.
+p - t; votes are summed for each diagonal, diagonals that inserted or dropped words can part are merged,
+and the spans with as many votes as a span of the asked coverage must have are compared with the template
+by their longest common subsequence of words. Besides that, the base phrases are found exactly.
 """
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +50,63 @@ TEMPLATES = {
     "unlicense": """This is free and unencumbered software released into the public domain""",
 }
 
+#: Longest k-grams; shorter ones are taken where a span of the asked coverage needn't keep any (:func:`kept_grams`).
 GRAM = 4
 
 
+def missing(n: int, coverage: float) -> int:
+    """Words of a template of ``n`` that a span of the coverage may lack."""
+    return n - math.ceil(round(coverage * n, 9))
+
+
+def kept_grams(n: int, k: int, drift: int, coverage: float) -> int:
+    """The fewest k-grams of a template of ``n`` words in a span of the coverage at most ``drift`` words longer than it.
+
+    It lacks ``missing`` words and holds up to ``missing + drift`` others; each may part a run of kept words.
+    """
+    lost = missing(n, coverage)
+    return n - lost - (2 * lost + drift + 1) * (k - 1)
+
+
+def common(masks: list[int], n: int, need: int) -> tuple[int, int | None]:
+    """(longest common subsequence with a template of ``n`` words, place at which it first has ``need`` words or None).
+
+    ``masks`` holds for each word of the text the set of template places where it stands, as bits.
+    """
+    full = rest = (1 << n) - 1
+    end = None
+    for i, m in enumerate(masks):
+        hit = rest & m
+        rest = ((rest + hit) | (rest - hit)) & full
+        if end is None and n - rest.bit_count() >= need:
+            end = i
+    return n - rest.bit_count(), end
+
+
+def spans_of(want: list[bytes], words: list[bytes], start: int, stop: int, need: int, reach: int) -> list[tuple[int, int, int]]:
+    """(first word, last word, words in order) of the shortest places in ``words[start:stop]`` with ``need`` words of ``want`` in order.
+
+    The places don't overlap; the third value is the most that ``reach`` words that hold the place have in order.
+    """
+    at: dict[bytes, int] = {}
+    for i, w in enumerate(want):
+        at[w] = at.get(w, 0) | 1 << i
+    hits = [(i, at[words[i]]) for i in range(start, stop) if words[i] in at]
+    found, after = [], 0
+    for j, (i, _) in enumerate(hits):
+        while after < len(hits) and hits[after][0] < i + reach:
+            after += 1
+        if after - j >= need:
+            same, end = common([m for _, m in hits[j:after]], len(want), need)
+            if end is not None:
+                found.append((i, hits[j + end][0], same))
+    out: list[tuple[int, int, int]] = []
+    for first, last, _ in sorted(found, key=lambda x: (x[1] - x[0], x[0])):
+        if all(last < o[0] or first > o[1] for o in out):
+            out.append((first, last, max(same for i, _, same in found if i <= first and last < i + reach)))
+    return out
+
+
 def words_of(text: str) -> list[bytes]:
     """The words of the contract: runs of digits, a-z (after lower-casing A-Z) and non-ASCII characters."""
     data = T.LOWER[np.frombuffer(text.encode(), np.uint8)]
@@ -89,6 +143,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     of which a span holds at least ``coverage`` of the words in order, the best where spans overlap. ``score`` is the best coverage of
     a template, 1 where a base phrase stands, 0 without labels.
 
+    No span that is at most ``drift`` words longer than its template is missed, wherever words are replaced, dropped or
+    put in; longer ones, up to three times the template, count if they keep as many k-grams.
+
     * A null text is empty: no words, no labels, score 0.
     * Rows that repeat an id and a text get equal results; null ids are told apart by their texts.
     * Only hits are shuffled, by document; the templates are a fixed table of some hundred rows.
@@ -99,6 +156,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.withColumn("digest", F.xxhash64("text"))
 
+    labels = list(templates)
+    bodies = [words_of(templates[x]) for x in labels]
+    while k > 1 and any(kept_grams(len(words), k, drift, coverage) < 1 for words in bodies):
+        k -= 1
+    places = [(int(h), t, p) for t, words in enumerate(bodies) for p, h in enumerate(T.gram_hash(_hashes(words), k).view(np.int64))]
+    table = spark.createDataFrame(places, "gram long, template int, at int")
+    needed = [max(1, min(kept_grams(len(words), k, drift, coverage), max(2, int(0.3 * len(words))))) for words in bodies]
+    # The hits of a span lie on diagonals that its missing and its other words can part.
+    apart = [2 * missing(len(words), coverage) + drift for words in bodies]
+    least = [len(words) - missing(len(words), coverage) for words in bodies]
+    by_template = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("template") + 1)
+
     def counted(batches):
         for b in batches:
             ids, digests = b["doc_id"], b["digest"]
@@ -135,22 +204,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     schema = "doc_id long, digest long, n_words long, n_base long, first_word long, last_word long, found array<string>, grams array<long>"
     read = base.mapInArrow(counted, schema)
 
-    labels = list(templates)
-    bodies = [words_of(templates[x]) for x in labels]
-    places = [(int(h), t, p) for t, words in enumerate(bodies) for p, h in enumerate(T.gram_hash(_hashes(words), k).view(np.int64))]
-    table = spark.createDataFrame(places, "gram long, template int, at int")
-    needed = {t: max(2, int(0.3 * len(words))) for t, words in enumerate(bodies)}
-
     # The narrow results and the hits come from one pass: both are kept, the hashes are not.
     grams = read.select("doc_id", "digest", F.posexplode("grams").alias("pos", "gram"))
     hits = grams.join(F.broadcast(table), "gram").select("doc_id", "digest", "template", "pos", (F.col("pos") - F.col("at")).alias("diagonal"), "at")
     votes = hits.groupBy("doc_id", "digest", "template", "diagonal").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("at").alias("ats"))
     line = Window.partitionBy("doc_id", "digest", "template").orderBy("diagonal")
     gap = F.col("diagonal") - F.lag("diagonal").over(line)
-    votes = votes.withColumn("band", F.sum(F.when(gap <= drift, 0).otherwise(1)).over(line))
+    votes = votes.withColumn("band", F.sum(F.when(gap <= by_template(apart), 0).otherwise(1)).over(line))
     bands = votes.groupBy("doc_id", "digest", "template", "band").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("votes"))
-    least = F.element_at(F.array(*(F.lit(needed[t]) for t in range(len(bodies)))), F.col("template") + 1)
-    spans = bands.where(F.col("votes") >= least).groupBy("doc_id", "digest").agg(F.collect_set(F.struct("template", "first", "last")).alias("spans"))
+    spans = bands.where(F.col("votes") >= by_template(needed)).groupBy("doc_id", "digest").agg(F.collect_set(F.struct("template", "first", "last")).alias("spans"))
     spans = written(spans, "license-spans")
     n_spans = spans.count()
 
@@ -160,15 +222,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
             for doc, digest, text, cands in zip(*(b[c].to_pylist() for c in ("doc_id", "digest", "text", "spans")), strict=True):
                 words = words_of(text)
                 matches = []
-                for c in cands:
-                    want = bodies[c["template"]]
-                    slack = drift + len(want)
-                    have = words[max(0, c["first"] - slack) : c["last"] + k + slack]
-                    # Whole words in order; a span longer than the template counts each template word once.
-                    same = sum(m.size for m in SequenceMatcher(None, want, have, autojunk=False).get_matching_blocks())
-                    share = same / len(want)
-                    if share >= coverage:
-                        matches.append((-round(share, 1), -same, c["first"], c["last"], labels[c["template"]], share))
+                places: dict[int, list] = {}
+                for c in sorted(cands, key=lambda c: c["first"]):
+                    reach = 3 * (len(bodies[c["template"]]) + drift)
+                    start, stop = max(0, c["first"] - reach), min(len(words), c["last"] + k + reach)
+                    mine = places.setdefault(c["template"], [])
+                    if mine and start <= mine[-1][1]:
+                        mine[-1][1] = max(mine[-1][1], stop)
+                    else:
+                        mine.append([start, stop])
+                for t, mine in places.items():
+                    want = bodies[t]
+                    for start, stop in mine:
+                        for first, last, same in spans_of(want, words, start, stop, least[t], 3 * (len(want) + drift)):
+                            share = same / len(want)
+                            matches.append((-round(share, 1), -same, first, last, labels[t], share))
                 best: list[tuple] = []
                 for m in sorted(matches):  # where spans of two templates overlap, the better one counts
                     if all(m[3] < o[2] or m[2] > o[3] or m[4] == o[4] for o in best):

@@ -1,3 +1,4 @@
+import random
 import re
 
 from tessel.llm import license_scan as L
@@ -46,3 +47,66 @@ def test_long_documents_and_empty_table(spark):
     rows = [r for r in AWKWARD]
     assert L.scan(documents(spark, rows)).count() == len(rows)
     assert L.scan(documents(spark, [])).count() == 0
+
+
+def in_order(want, have):
+    """Longest common subsequence, by the plain table."""
+    row = [0] * (len(want) + 1)
+    for h in have:
+        before = row
+        row = [0]
+        for j, w in enumerate(want):
+            row.append(before[j] + 1 if w == h else max(before[j + 1], row[j]))
+    return row[-1]
+
+
+def best_share(label, text, room):
+    want, words = L.words_of(L.TEMPLATES[label]), L.words_of(text)
+    return max(in_order(want, words[i : i + room]) for i in range(len(words))) / len(want)
+
+
+def edited(rng, label, how, lost):
+    """A template with ``lost`` words replaced or dropped, and 3 others put in for ``how`` = "inserted"."""
+    words = [w.decode() for w in L.words_of(L.TEMPLATES[label])]
+    n = len(words)
+    if how == "every fifth":
+        at = set(range(4, n, 5))
+    elif how == "block":
+        start = rng.randrange(1, n - lost)
+        at = set(range(start, start + lost))
+    else:
+        at = set(rng.sample(range(n), lost))
+    out = [f"zz{i}" if i in at else w for i, w in enumerate(words) if how in ("every fifth", "replaced") or i not in at]
+    for j in range(3 if how == "inserted" else 0):
+        out.insert(rng.randrange(1, len(out)), f"yy{j}")
+    return " ".join([f"before{i}" for i in range(9)] + out + [f"after{i}" for i in range(9)])
+
+
+def test_labels_down_to_the_limit_against_a_search_of_all_spans(spark):
+    rng = random.Random(6)
+    made = []
+    for label, template in L.TEMPLATES.items():
+        n = len(L.words_of(template))
+        lost = L.missing(n, 0.8)
+        made.append((label, edited(rng, label, "every fifth", lost), True))
+        for how in ("replaced", "dropped", "block", "inserted"):
+            made += [(label, edited(rng, label, how, lost), True) for _ in range(3)]
+            made.append((label, edited(rng, label, how, lost + 1), False))
+    got = {r.doc_id: r for r in L.scan(documents(spark, [(i, t, None, None, 0, "x") for i, (_, t, _) in enumerate(made)])).collect()}
+    for i, (label, text, whole) in enumerate(made):
+        n = len(L.words_of(L.TEMPLATES[label]))
+        labels, own = set(filter(None, got[i].labels.split(","))), best_share(label, text, n + 3)
+        assert (own >= 0.8) == whole
+        for x in labels - set(got[i].base_labels.split(",")):
+            share = best_share(x, text, 3 * (len(L.words_of(L.TEMPLATES[x])) + 3))
+            assert share >= 0.8 and (not whole or x == label or round(share, 1) >= round(own, 1))
+        assert bool(labels) >= whole, (label, text)
+        if labels == {label} and not got[i].n_base:
+            assert got[i].score == best_share(label, text, 3 * (n + 3))
+
+
+def test_notices_side_by_side_keep_their_labels(spark):
+    names = ["cc-by", "mit", "cc-by-nc", "unlicense", "apache-2", "bsd"]
+    text = " and ".join(L.TEMPLATES[x] for x in names)
+    (r,) = L.scan(documents(spark, [(1, text, None, None, 0, "x")])).collect()
+    assert set(names) <= set(r.labels.split(","))
