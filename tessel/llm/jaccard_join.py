@@ -1,14 +1,16 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: banded MinHash in place of an LSH forest, then exact verification.
 
 Documents are sets of shingles (``shingle`` consecutive words). Documents with equal sets are one class
-of copies, of which only the first goes on. Each document has a signature for every tree of the
-forest; the trees are sorted by signature, and pairs that share a prefix are candidates. Prefixes are
-shortened from their full depth until pairs at the threshold are met with the target recall
-(:func:`forest_depth`). Every candidate pair is verified on the whole sets.
+of copies, of which only the first goes on. Each document has a signature for every tree, a hash of the
+tree's first levels; pairs with an equal signature in some tree are candidates. How many levels is fixed
+before the data are read (:func:`forest_depth`): the most at which pairs at the threshold are met with
+the target recall. A forest would shorten its prefixes by document or group; here every pair at the
+threshold is asked for, so all of them would be shortened to just that length, and the longer prefixes
+add no pair. Every candidate pair is verified on the whole sets.
 
 Verification works on blocks of documents, so that a large group of near copies is neither gathered in
-one task nor expanded into rows of pairs: the groups that the forest connects are dealt into blocks of
-about ``block`` documents, each pair of blocks that shares a prefix is a task, and a task returns
+one task nor expanded into rows of pairs: the groups that shared signatures connect are dealt into blocks of
+about ``block`` documents, each pair of blocks that shares a signature is a task, and a task returns
 numbers of links and a spanning forest of them.
 """
 
@@ -27,6 +29,7 @@ from tessel.llm.common import small, small_batches, without, written
 from tessel.llm.components import components
 
 _rng = np.random.Generator(np.random.PCG64(8128))
+#: Bands, and the most levels of one; only :func:`forest_depth` of these are computed.
 TREES, DEPTH = 24, 8
 #: Multipliers and additions of the minimum hashes, one for each tree and level.
 _MUL = _rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)

@@ -125,3 +125,16 @@ def test_components(spark):
     found = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(41)} | {100: 100, 200: 100, 300: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_longer_prefixes_add_no_pair():
+    """Why fixed bands may stand for a forest: what meets on more levels meets on the fixed ones."""
+    rng = np.random.default_rng(7)
+    kept = rng.random((60, 40)) < 0.9
+    hashes = [np.unique(rng.integers(0, 1 << 63, 40, dtype=np.uint64)) for _ in range(4)]
+    sets = [hashes[i % 4][kept[i]] for i in range(60)]
+    cuts = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    depth = J.forest_depth(0.8, 0.99999)
+    assert depth == 4 and 1 - (1 - 0.8 ** (depth + 1)) ** J.TREES < 0.99999
+    pairs = [set(map(tuple, J.forest_pairs(s, s, True).tolist())) for s in (J.signatures(np.concatenate(sets), cuts, d) for d in range(depth, J.DEPTH + 1))]
+    assert pairs[0] and all(longer <= shorter for shorter, longer in zip(pairs, pairs[1:], strict=False))
