@@ -2,7 +2,7 @@
 
 Every vector is described by its ``length`` nearest of a set of pivots, in order. It is posted in the
 inverted files of its first ``postings`` pivots. A query opens the files of its first ``probes``
-pivots; in each, vectors are ranked by the footrule distance of the two permutations and the nearest
+pivots (more of them the more pivots there are); in each, vectors are ranked by the footrule distance of the two permutations and the nearest
 ``rerank`` share is reranked by the exact cosine. Files are split into shards of about ``shard``
 vectors and the queries into blocks, by hash, so a pivot near which most vectors lie (or one vector
 repeated in a third of the rows) gives many equal tasks.
@@ -38,6 +38,11 @@ def choose_pivots(vectors: DataFrame, count: int) -> np.ndarray:
     return sample[np.sort(first)[:count]]
 
 
+def files_opened(n_pivots: int) -> int:
+    """Files that a query opens: 40 of 256, and with more pivots (smaller shares of the rows) as many more as their square root grows."""
+    return min(n_pivots, int(np.ceil(40 * np.sqrt(max(n_pivots, 256) / 256))))
+
+
 def norms(x: np.ndarray) -> np.ndarray:
     return np.sqrt((x * x).sum(axis=1))
 
@@ -51,14 +56,14 @@ def nearest(
     pivots: int | None = None,
     length: int = 64,
     postings: int = 8,
-    probes: int = 40,
+    probes: int | None = None,
     rerank: float = 0.25,
     shard: int = 4096,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` rows found nearest to each query by cosine.
 
-    ``pivots`` defaults to the square root of the number of vectors, between 256 and 4096. All vectors
-    are indexed; the pivots are a sample of that size.
+    ``pivots`` defaults to the square root of the number of vectors, between 256 and 4096, ``probes`` to
+    :func:`files_opened` (40 to 160). All vectors are indexed; the pivots are a sample of that size.
 
     * Vectors that are null, empty or zero, or that hold a null or a non-finite number, take no part;
       neither do rows with a null id, nor vectors of another length than the commonest.
@@ -76,28 +81,30 @@ def nearest(
     total = sizes["count"]
     unit = choose_pivots(vectors, pivots or int(np.clip(np.sqrt(total), 256, 4096)))
     n_pivots = len(unit)
-    length, post, probe = min(length, n_pivots), min(postings, n_pivots), min(probes, n_pivots)
+    length, post, probe = min(length, n_pivots), min(postings, n_pivots), min(probes or files_opened(n_pivots), n_pivots)
 
     def permute(batches):
         for pdf in batches:
             x = np.array(pdf["vec"].tolist())
             sim = (x / norms(x)[:, None]) @ unit.T
-            order = np.argsort(-sim, axis=1, kind="stable")[:, :length].astype("<i2")
-            pdf["perm"] = [o.tobytes() for o in order]
-            yield pdf[["vec_id", "vec", "perm", "asks"]]
+            order = np.argsort(-sim, axis=1, kind="stable").astype("<i2")
+            pdf["perm"] = [o.tobytes() for o in order[:, :length]]
+            # A query may open more files than a permutation is long.
+            pdf["opens"] = [o.tobytes() if a else None for o, a in zip(order[:, :probe], pdf["asks"], strict=True)]
+            yield pdf[["vec_id", "vec", "perm", "opens", "asks"]]
 
-    permuted = written(vectors.withColumn("asks", F.expr(is_query)).mapInPandas(permute, "vec_id long, vec array<double>, perm binary, asks boolean"), "ann-permutations")
+    permuted = written(vectors.withColumn("asks", F.expr(is_query)).mapInPandas(permute, "vec_id long, vec array<double>, perm binary, opens binary, asks boolean"), "ann-permutations")
 
     def openings(batches):
         for pdf in batches:
             perm = np.frombuffer(b"".join(pdf["perm"]), "<i2").reshape(-1, length)
-            asks = pdf["asks"].to_numpy(bool)
+            opens = np.frombuffer(b"".join(pdf["opens"].dropna()), "<i2")
             posted = np.bincount(perm[:, :post].ravel(), minlength=n_pivots)
-            asked = np.bincount(perm[asks, :probe].ravel(), minlength=n_pivots)
+            asked = np.bincount(opens, minlength=n_pivots)
             yield pd.DataFrame({"pivot": np.arange(n_pivots), "posted": posted, "asked": asked})
 
     # One row per pivot: at most 4096 rows, whatever the input.
-    counts = permuted.select("perm", "asks").mapInPandas(openings, "pivot int, posted long, asked long").groupBy("pivot").agg(F.sum("posted").alias("posted"), F.sum("asked").alias("asked")).collect()
+    counts = permuted.select("perm", "opens").mapInPandas(openings, "pivot int, posted long, asked long").groupBy("pivot").agg(F.sum("posted").alias("posted"), F.sum("asked").alias("asked")).collect()
     shards, blocks = np.ones(n_pivots, np.int64), np.ones(n_pivots, np.int64)
     for r in counts:
         shards[r["pivot"]], blocks[r["pivot"]] = max(1, -(-r["posted"] // shard)), max(1, -(-r["asked"] // shard))
@@ -109,9 +116,9 @@ def nearest(
             for pdf in batches:
                 ids = pdf["vec_id"].to_numpy(np.int64)
                 spread = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-                perm = np.frombuffer(b"".join(pdf["perm"]), "<i2").reshape(-1, length)
                 own, across = (shards, blocks) if side == 0 else (blocks, shards)
-                files = perm[:, : post if side == 0 else probe].astype(np.int64)
+                column, width, most = ("perm", length, post) if side == 0 else ("opens", probe, probe)
+                files = np.frombuffer(b"".join(pdf[column]), "<i2").reshape(-1, width)[:, :most].astype(np.int64)
                 row = np.repeat(np.arange(len(ids)), files.shape[1])
                 pivot = files.ravel()
                 mine = (spread[row] % own[pivot].astype(np.uint64)).astype(np.int64)

@@ -57,3 +57,12 @@ def test_one_vector_in_most_rows(spark):
             assert [i for i, _ in near] == [i for i in range(1, 12) if i % 3 and i != q][:5]
     want = brute(rows)
     assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_more_files_are_opened_with_more_pivots(spark):
+    assert [ann.files_opened(n) for n in (3, 256, 1024, 4096)] == [3, 40, 80, 160]
+    rng = np.random.default_rng(11)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 64)).astype(np.float32).astype(float))]
+    want, got = brute(rows), found(ann.nearest(frame(spark, rows), pivots=1024))
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.95 * 5 * len(want)
