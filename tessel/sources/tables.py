@@ -31,7 +31,8 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One transaction per row of ``events``; running windows by user.
 
     ``known_merchants`` holds each merchant of all the user's earlier events once, in order of their names, so a
-    row grows with the merchants and not with the history. Money is whole hundredths inside windows, so sums don't hang on the order of the rows.
+    row grows with the merchants and not with the history. An event without a merchant (``props`` null or without
+    ``k``) has the defaults of a request that leaves it out: no id, no category, zeros. Money is whole hundredths inside windows, so sums don't hang on the order of the rows.
     """
     k = F.get_json_object("props", "$.k").cast("int")
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts"), k.alias("k"), F.round(F.col("value") * 100).cast("bigint").alias("cents"))
@@ -50,22 +51,23 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     merchants = events.groupBy(F.col("k").alias("mk")).agg(F.round(F.sum("cents") * 20 / 100.0 / F.count(F.lit(1)), 2).alias("merchant_avg"))
     mcc = F.element_at(F.array(*map(F.lit, MCCS)), F.col("k") % len(MCCS) + 1)
-    return events.join(merchants, F.col("k") == F.col("mk")).select(
+    merchant = F.concat(F.lit("MERC-"), F.lpad(F.col("k").cast("string"), 3, "0"))
+    return events.join(merchants, F.col("k") == F.col("mk"), "left").select(
         "event_id",
         "user_id",
         "k",
         (F.col("cents") * 20 / 100.0).alias("amount"),
-        (F.col("k") % 12 + 1).cast("int").alias("installments"),
+        F.coalesce((F.col("k") % 12 + 1).cast("int"), F.lit(0)).alias("installments"),
         F.col("ts").cast("timestamp").alias("requested_at"),
         "customer_avg",
         "tx_count_24h",
         "known_merchants",
-        F.concat(F.lit("MERC-"), F.lpad(F.col("k").cast("string"), 3, "0")).alias("merchant_id"),
+        F.coalesce(merchant, F.lit("")).alias("merchant_id"),
         mcc.alias("mcc"),
-        "merchant_avg",
+        F.coalesce("merchant_avg", F.lit(0.0)).alias("merchant_avg"),
         F.col("event_type").isin("click", "view").alias("is_online"),
         (F.col("event_type") == "purchase").alias("card_present"),
-        (F.col("k") * 15.0).alias("km_from_home"),
+        F.coalesce(F.col("k") * 15.0, F.lit(0.0)).alias("km_from_home"),
         F.col("last_ts").cast("timestamp").alias("last_at"),
         F.coalesce(F.abs(F.col("k") - F.col("last_k")) * 12.0, F.lit(0.0)).alias("km_from_current"),
         (F.col("event_type") == "error").alias("fraud"),
