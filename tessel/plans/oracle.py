@@ -28,21 +28,21 @@ keyed AS (
 ), history AS (
   SELECT *, count(*) OVER past AS n_before, sum(cents) OVER past AS cents_before,
          CAST(count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) - 1 AS INTEGER) AS tx_count_24h,
-         list(k) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS known,
+         k IS NOT NULL AND row_number() OVER (PARTITION BY user_id, k ORDER BY ts, event_id) > 1 AS seen,
          lag(us) OVER byuser AS last_us, lag(k) OVER byuser AS last_k
   FROM keyed
   WINDOW past AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
          byuser AS (PARTITION BY user_id ORDER BY ts, event_id)
 ), merchants AS (
-  SELECT k AS mk, round(CAST(sum(cents) AS BIGINT) * 20 / 100.0::DOUBLE / count(*), 2) AS merchant_avg FROM keyed GROUP BY k
+  SELECT k AS mk, round(CAST(sum(cents) AS BIGINT) * 20 / 100.0::DOUBLE / count(*), 2) AS merchant_avg FROM keyed WHERE k IS NOT NULL GROUP BY k
 ), tx AS (
-  SELECT event_id, user_id, k, cents * 20 / 100.0::DOUBLE AS amount, k % 12 + 1 AS installments, ts, us,
+  SELECT event_id, user_id, k, cents * 20 / 100.0::DOUBLE AS amount, coalesce(k % 12 + 1, 0) AS installments, ts, us,
          CASE WHEN n_before > 0 THEN CAST(cents_before AS BIGINT) * 20 / 100.0::DOUBLE / n_before ELSE 0.0::DOUBLE END AS customer_avg,
-         tx_count_24h, CASE WHEN list_contains(coalesce(known, []), k) THEN 0 ELSE 1 END AS unknown,
-         {_MCC_LIST}[k % 12 + 1] AS mcc, merchant_avg, event_type IN ('click', 'view') AS is_online,
-         event_type = 'purchase' AS card_present, k * 15.0::DOUBLE AS km_from_home, last_us,
+         tx_count_24h, CASE WHEN seen THEN 0 ELSE 1 END AS unknown,
+         {_MCC_LIST}[k % 12 + 1] AS mcc, coalesce(merchant_avg, 0.0::DOUBLE) AS merchant_avg, event_type IN ('click', 'view') AS is_online,
+         event_type = 'purchase' AS card_present, coalesce(k * 15.0::DOUBLE, 0) AS km_from_home, last_us,
          coalesce(abs(k - last_k) * 12.0::DOUBLE, 0) AS km_from_current, event_type = 'error' AS fraud
-  FROM history JOIN merchants ON k = mk
+  FROM history LEFT JOIN merchants ON k = mk
 )"""
 
 _F = [
@@ -218,5 +218,5 @@ ORACLES: dict[str, str] = {
     "response_body": f"{SEARCH}, {adaptive(3, 10)} SELECT qid, {_RESPONSES}[fc + 1] AS body FROM found",
     "index_roundtrip": f"{IVF}, {PLACED} SELECT ref_id, CAST(bucket_id // 32 AS INTEGER) AS part, bucket_id, pos, CAST(fraud AS TINYINT) AS fraud, CAST(list_sum(q16) AS BIGINT) AS total FROM placed",
     "round_robin": "SELECT event_id, CAST((row_number() OVER (ORDER BY event_id) - 1) % 2 AS INTEGER) AS instance FROM events",
-    "test_set_scan": f"WITH {TX} SELECT row_number() OVER (ORDER BY event_id) - 1 AS entry, NOT fraud AS expected_approved, 'MERC-' || lpad(CAST(k AS VARCHAR), 3, '0') AS merchant, installments FROM tx",
+    "test_set_scan": f"WITH {TX} SELECT row_number() OVER (ORDER BY event_id) - 1 AS entry, NOT fraud AS expected_approved, coalesce('MERC-' || lpad(CAST(k AS VARCHAR), 3, '0'), '') AS merchant, installments FROM tx",
 }
