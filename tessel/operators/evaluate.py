@@ -59,43 +59,47 @@ def with_scores(counts: DataFrame) -> DataFrame:
     return counts.select("*", weighted_error().alias("e"), F.round(fail_rate(), 6).alias("fail_rate"), F.round(accuracy(), 6).alias("accuracy"), F.round(det_score(), 6).alias("det_score"))
 
 
-#: Values that are sorted in one task at most.
-GATHER = 200_000
+#: Values that are sorted in one task at most, and bins of a pass.
+GATHER, BINS = 200_000, 1024
 
 
 def order_statistics(df: DataFrame, column: str, indices: list[int]) -> list[float | None]:
-    """The values at the given places (from 0) of the sorted column, exactly.
+    """The values at the given places (from 0) of the sorted column, exactly; NaN sorts last.
 
-    Bounds from a quantile sketch are tightened until few values are left between them; only those are
-    sorted. Nothing is gathered whose size grows with the table.
+    Each pass counts the values between two bounds in bins of equal width, with the least and the greatest value of
+    each, and goes on within the bin that holds the place. The least and the greatest value of all are in different
+    bins, so every pass leaves fewer different values, and equal values need no pass at all. A few values that are left
+    are sorted. At most ``BINS`` rows come to the driver, whatever the table.
     """
+    infinity = float("inf")
     values = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
-    n = values.count()
+    finite = ~F.isnan("v") & (F.abs("v") != infinity)
+    r = values.agg(F.count_if(F.col("v") == -infinity), F.count_if(finite), F.count_if(F.col("v") == infinity), F.count(F.lit(1)), F.min(F.when(finite, F.col("v"))), F.max(F.when(finite, F.col("v")))).first()
+    below_all, n_finite, above, n, least, greatest = r
+    inside = values.where(finite)
     out = []
     for index in indices:
         if not 0 <= index < n:
             out.append(None)
             continue
-        low, high, left = None, None, n
-        while left > GATHER:
-            inside = values if low is None else values.where(F.col("v").between(low, high))
-            below = 0 if low is None else values.where(F.col("v") < low).count()
-            at = (index - below) / left
-            near = [max(0.0, at - 0.02), min(1.0, at + 0.02)]
-            new_low, new_high = inside.agg(F.percentile_approx("v", near, 1000)).first()[0]
-            counts = values.agg(F.count_if(F.col("v") < new_low), F.count_if(F.col("v") <= new_high)).first()
-            if (low, high) == (new_low, new_high) or not counts[0] <= index < counts[1]:
-                break
-            low, high, left = new_low, new_high, counts[1] - counts[0]
-            if low == high:
-                break
-        if low is not None and low == high:
-            out.append(low)
+        if index < below_all or index >= below_all + n_finite:
+            out.append(-infinity if index < below_all else infinity if index < below_all + n_finite + above else float("nan"))
             continue
-        inside = values if low is None else values.where(F.col("v").between(low, high))
-        below = 0 if low is None else values.where(F.col("v") < low).count()
-        nth = inside.withColumn("rn", F.row_number().over(Window.orderBy("v"))).where(F.col("rn") == index - below + 1).first()
-        out.append(nth["v"])
+        low, high, before, left = least, greatest, below_all, n_finite
+        while low < high and left > GATHER:
+            here = inside.where(F.col("v").between(low, high))
+            width = high / 2 - low / 2  # halves, so that it can't overflow
+            place = F.floor((F.col("v") / 2 - low / 2) / width * BINS) if width > 0 else (F.col("v") > low).cast("int")
+            bins = here.groupBy(F.least(F.lit(BINS - 1), place).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+            for b in sorted(bins.collect(), key=lambda b: b["bin"]):
+                if index < before + b["n"]:
+                    low, high, left = b["low"], b["high"], b["n"]
+                    break
+                before += b["n"]
+        if low < high:
+            ranked = inside.where(F.col("v").between(low, high)).withColumn("rn", F.row_number().over(Window.orderBy("v")))
+            low = ranked.where(F.col("rn") == index - before + 1).first()["v"]
+        out.append(low)
     return out
 
 

@@ -45,6 +45,24 @@ def test_percentiles(spark, monkeypatch):
     assert evaluate.percentiles(df.where("false"), "v") == (None, None)
 
 
+def test_order_statistics_of_awkward_values(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "GATHER", 3)
+    inf, nan = math.inf, math.nan
+    for values in (
+        [1.0, 2.0] * 500,
+        [5.0] * 1000,
+        [0.0, 5e-324, 1e-323] * 200,
+        [1.7e308, -1.7e308, 0.0] * 50 + [1e-300 * i for i in range(100)],
+        [inf, -inf, nan, 3.0, 3.0, 4.0, inf, -inf, 2.5, 2.0, 1.0, 7.0],
+        [10.0**i for i in range(-300, 300, 40)],
+    ):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+        want = sorted(values, key=lambda v: (v != v, v if v == v else 0))
+        places = [len(values) // 2, len(values) - 2]
+        got = evaluate.order_statistics(df, "v", [*places, len(values), -1])
+        assert [str(x) for x in got] == [str(want[i]) for i in places] + ["None", "None"]
+
+
 def test_references_and_test_sets(spark, tmp_path):
     path = str(tmp_path / "references.json.gz")
     rows = [{"vector": [i / 10] * 14, "label": "fraud" if i % 3 == 0 else "legit", "more": {"a": [1]}} for i in range(10)] + [{"vector": [0.0] * 14}]
