@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tessel.functions import constants as K
@@ -22,6 +24,8 @@ from tessel.operators.ranks import positions
 
 #: Rows of a bucket that one task scans at most, in the block plan.
 SHARD = 65_536
+#: Centroid values up to which the relational plans are taken, and distances that a NumPy plan holds at once.
+FEW, ENTRIES = 2048, 1 << 21
 
 
 def clamp_probes(k: int, nlow: int, nhigh: int) -> tuple[int, int]:
@@ -29,14 +33,48 @@ def clamp_probes(k: int, nlow: int, nhigh: int) -> tuple[int, int]:
     return min(max(nlow, 1), nhigh), nhigh
 
 
-def assign(refs: DataFrame, centroids: DataFrame, dims: int) -> DataFrame:
+def _matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, codes) of the centroids in order of their ids; there are K rows, whatever the number of references."""
+    rows = sorted((r["centroid_id"], r["c"]) for r in centroids.select("centroid_id", "c").collect())
+    return np.array([i for i, _ in rows], np.int64), np.array([c for _, c in rows], np.float64)
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    """An array column of codes without nulls as a matrix."""
+    return column.flatten().to_numpy().reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 0))
+
+
+def _chunks(codes: np.ndarray, table: np.ndarray):
+    """(first row, distances to all centroids) a few rows at a time; exact, since codes' sums stay below 2**53."""
+    step, squares = max(1, ENTRIES // len(table)), (table * table).sum(axis=1)
+    for s in range(0, len(codes), step):
+        part = codes[s : s + step]
+        yield s, (part * part).sum(axis=1)[:, None] - 2 * (part @ table.T) + squares[None, :]
+
+
+def assign(refs: DataFrame, centroids: DataFrame, dims: int, strategy: str | None = None) -> DataFrame:
     """``refs`` with bucket_id: the nearest centroid, ties to the lowest id.
 
-    ``centroids`` (centroid_id, c) is K rows; it is broadcast as one array, so each reference is one
-    row of a projection, not K rows of a join.
+    ``centroids`` (centroid_id, c) is K rows. ``arrow`` multiplies batches of references with all centroids in NumPy;
+    ``relational`` is a projection over the centroids broadcast as one array, without Python, which is quicker up to
+    about :data:`FEW` values. Distances of codes are integers, so both give the same rows. Without centroids
+    bucket_id is null.
     """
-    table = centroids.agg(F.array_sort(F.collect_list(F.struct("centroid_id", "c"))).alias("table"))
-    met = refs.join(F.broadcast(table))
+    ids, table = _matrix(centroids)
+    strategy = strategy or ("relational" if table.size <= FEW else "arrow")
+    if strategy == "arrow" and len(ids):
+        names = refs.columns
+
+        def nearest(batches):
+            for b in batches:
+                near = np.empty(len(b), np.int64)
+                for s, d in _chunks(_codes(b["q16"]), table):
+                    near[s : s + len(d)] = ids[d.argmin(axis=1)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near)], [*names, "bucket_id"])
+
+        return refs.mapInArrow(nearest, StructType([*refs.schema.fields, StructField("bucket_id", LongType())]))
+    every = centroids.agg(F.array_sort(F.collect_list(F.struct("centroid_id", "c"))).alias("table"))
+    met = refs.join(F.broadcast(every))
     near = F.array_min(F.transform("table", lambda e: F.struct(squared_distance(F.col("q16"), e["c"], dims).alias("d"), e["centroid_id"].alias("id"))))
     return met.withColumn("bucket_id", near["id"]).drop("table")
 
@@ -68,10 +106,31 @@ def label_bitset(placed: DataFrame) -> DataFrame:
     return placed.groupBy(F.floor(F.col("pos") / 8).alias("byte_no")).agg(F.bit_or(bit).alias("bits"))
 
 
-def _with_probes(queries: DataFrame, centroids: DataFrame, dims: int, nprobe: int) -> DataFrame:
-    """``queries`` (qid, qv16) with ``by``: (d, bucket_id) of the nearest centroids in order."""
-    table = centroids.agg(F.collect_list(F.struct("centroid_id", "c")).alias("table"))
-    met = queries.select("qid", "qv16").join(F.broadcast(table))
+def _with_probes(queries: DataFrame, centroids: DataFrame, dims: int, nprobe: int, strategy: str | None = None) -> DataFrame:
+    """``queries`` (qid, qv16) with ``by``: (d, bucket_id) of the nearest centroids in order; as :func:`assign`."""
+    ids, table = _matrix(centroids)
+    queries = queries.select("qid", "qv16")
+    strategy = strategy or ("relational" if table.size <= FEW else "arrow")
+    if strategy == "arrow" and len(ids):
+        take = min(nprobe, len(ids))
+
+        def probed(batches):
+            for b in batches:
+                order, dist = np.empty((len(b), take), np.int64), np.empty((len(b), take), np.int64)
+                for s, d in _chunks(_codes(b["qv16"]), table):
+                    # Ties at the edge go to the lowest id, so the key is (distance, place of the id), a whole number.
+                    key = np.rint(d).astype(np.int64) * len(ids) + np.arange(len(ids))
+                    near = np.argpartition(key, take - 1, axis=1)[:, :take] if take < len(ids) else np.broadcast_to(np.arange(len(ids)), key.shape)
+                    least = np.sort(np.take_along_axis(key, near, axis=1), axis=1)
+                    order[s : s + len(d)], dist[s : s + len(d)] = ids[least % len(ids)], least // len(ids)
+                cells = pa.StructArray.from_arrays([pa.array(dist.ravel()), pa.array(order.ravel())], ["d", "bucket_id"])
+                by = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1) * take, pa.int32()), cells)
+                yield pa.RecordBatch.from_arrays([b["qid"], b["qv16"], by], ["qid", "qv16", "by"])
+
+        cell = StructType([StructField("d", LongType()), StructField("bucket_id", LongType())])
+        return queries.mapInArrow(probed, StructType([*queries.schema.fields, StructField("by", ArrayType(cell))]))
+    every = centroids.agg(F.collect_list(F.struct("centroid_id", "c")).alias("table"))
+    met = queries.join(F.broadcast(every))
     by = F.array_sort(F.transform("table", lambda e: F.struct(squared_distance(F.col("qv16"), e["c"], dims).alias("d"), e["centroid_id"].alias("bucket_id"))))
     return met.select("qid", "qv16", F.slice(by, 1, nprobe).alias("by"))
 

@@ -7,12 +7,15 @@ each batch, so what is shuffled is at most K rows per task.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessel.operators.knn import distances
+from tessel.session import stored
 
+#: Distances that a step holds at once in a task.
+ENTRIES = 1 << 21
 DEFAULT_K, DEFAULT_ITERS, DEFAULT_SAMPLE, DEFAULT_SEED = 2048, 12, 200_000, 1
 
 
@@ -22,56 +25,75 @@ def sample_with_replacement(refs: DataFrame, size: int, seed: int = DEFAULT_SEED
     return refs.sample(withReplacement=True, fraction=min(size, n) / n, seed=seed) if n else refs
 
 
+#: A prime and multipliers of the order in which rows are drawn, which any SQL engine can compute in 64 bits.
+PRIME, BY_ID, BY_SEED = 2_147_483_647, 1_103_515_245, 40_503
+
+
+def drawn_order(seed: int) -> Column:
+    """A seeded pseudo-random number of the row's id."""
+    return F.pmod(F.pmod(F.col("ref_id"), F.lit(PRIME)) * BY_ID + F.lit(seed * BY_SEED), F.lit(PRIME))
+
+
 def start(sample: DataFrame, k: int, seed: int = DEFAULT_SEED, column: str = "vector") -> np.ndarray:
-    """``k`` rows of the sample by a seeded hash of the id; with replacement if there are fewer."""
-    rows = sample.select(column, F.xxhash64("ref_id", F.lit(seed)).alias("h"), "ref_id").orderBy("h", "ref_id").limit(k).collect()
+    """``k`` rows of the sample in the seeded order; with repetition if there are fewer."""
+    rows = sample.select(column, drawn_order(seed).alias("h"), "ref_id").orderBy("h", "ref_id").limit(k).collect()
     found = np.array([r[column] for r in rows], dtype=np.float64)
     return found[np.arange(k) % len(found)] if len(found) else found
 
 
-def step_sums(sample: DataFrame, centroids: np.ndarray, column: str = "vector") -> DataFrame:
-    """(centroid_id, n, sums, cost): each row goes to its nearest centroid, ties to the lowest id."""
+def step_sums(sample: DataFrame, centroids: np.ndarray, column: str = "vector", metric: str = "float") -> DataFrame:
+    """(centroid_id, n, sums, cost): each row goes to its nearest centroid, ties to the lowest id.
+
+    Distances of floats are sums of squared differences, those of codes (``i16``) whole numbers, so ties are ties.
+    """
+    rows = max(1, ENTRIES // len(centroids))
 
     def assign(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            v = np.stack(pdf[column]).astype(np.float64)
-            d = distances(v, centroids, "i16")
-            near = d.argmin(axis=1)
-            used, where = np.unique(near, return_inverse=True)
-            sums = np.zeros((len(used), v.shape[1]))
-            np.add.at(sums, where, v)
-            yield pd.DataFrame({"centroid_id": used, "n": np.bincount(where), "sums": list(sums), "cost": np.bincount(where, d[np.arange(len(v)), near])})
-
-    parts = sample.select(column).mapInPandas(assign, "centroid_id int, n long, sums array<double>, cost double")
+        for b in batches:
+            cells = b.column(0).flatten().to_numpy().astype(np.float64).reshape(len(b), -1) if len(b) else np.zeros((0, 0))
+            for s in range(0, len(cells), rows):
+                v = cells[s : s + rows]
+                d = distances(v, centroids, metric)
+                near = d.argmin(axis=1)
+                used, where = np.unique(near, return_inverse=True)
+                sums = np.zeros((len(used), v.shape[1]))
+                np.add.at(sums, where, v)
+                cost = np.bincount(where, d[np.arange(len(v)), near])
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.bincount(where)), pa.array(list(sums), pa.list_(pa.float64())), pa.array(cost)], ["centroid_id", "n", "sums", "cost"])
+
+    parts = sample.select(column).mapInArrow(assign, "centroid_id int, n long, sums array<double>, cost double")
     dims = centroids.shape[1]
     total = F.array(*[F.sum(F.col("sums")[i]) for i in range(dims)])
     return parts.groupBy("centroid_id").agg(F.sum("n").alias("n"), total.alias("sums"), F.sum("cost").alias("cost"))
 
 
-def train(refs: DataFrame, k: int = DEFAULT_K, iters: int = DEFAULT_ITERS, sample: int = DEFAULT_SAMPLE, seed: int = DEFAULT_SEED, column: str = "vector") -> tuple[np.ndarray, list[float]]:
-    """(centroids, cost before each step) after exactly ``iters`` steps.
+def lloyd(sample: DataFrame, centroids: np.ndarray, iters: int, seed: int = DEFAULT_SEED, column: str = "vector", codes: bool = False) -> tuple[np.ndarray, list[float]]:
+    """(centroids, cost before each step) after exactly ``iters`` steps from ``centroids``.
 
-    A centroid without rows is set to a row of the sample, so the cost may rise after such a step.
+    A centroid without rows is set to a row of the sample, the empty ones in order to the rows that :func:`start`
+    draws for the step, so the cost may rise after such a step. With ``codes`` centroids are rounded to whole numbers
+    after each step, half up: whole numbers all the way, the same on any number of machines. ``sample`` is read twice
+    a step, so it should be a written table.
     """
-    drawn = sample_with_replacement(refs.select("ref_id", column), sample, seed).persist()
-    try:
-        centroids, costs = start(drawn, k, seed, column), []
-        for i in range(iters):
-            rows = step_sums(drawn, centroids, column).collect()  # at most k rows
-            costs.append(sum(r["cost"] for r in rows))
-            filled = {r["centroid_id"] for r in rows}
-            centroids = centroids.copy()
-            for r in rows:
-                centroids[r["centroid_id"]] = np.array(r["sums"]) / r["n"]
-            empty = [c for c in range(k) if c not in filled]
-            if empty:
-                fresh = start(drawn, len(empty), seed + i + 1, column)
-                centroids[empty] = fresh
-        return centroids, costs
-    finally:
-        drawn.unpersist()
+    costs = []
+    for i in range(iters):
+        rows = step_sums(sample, centroids, column, "i16" if codes else "float").collect()  # at most k rows
+        costs.append(sum(r["cost"] for r in rows))
+        filled = {r["centroid_id"] for r in rows}
+        centroids = centroids.copy()
+        for r in rows:
+            mean = np.array(r["sums"]) / r["n"]
+            centroids[r["centroid_id"]] = np.floor(mean + 0.5) if codes else mean
+        empty = [c for c in range(len(centroids)) if c not in filled]
+        if empty:
+            centroids[empty] = start(sample, len(empty), seed + i + 1, column)
+    return centroids, costs
+
+
+def train(refs: DataFrame, k: int = DEFAULT_K, iters: int = DEFAULT_ITERS, sample: int = DEFAULT_SAMPLE, seed: int = DEFAULT_SEED, column: str = "vector") -> tuple[np.ndarray, list[float]]:
+    """(centroids, cost before each step): :func:`lloyd` on a sample with replacement from a random start."""
+    drawn = stored(sample_with_replacement(refs.select("ref_id", column), sample, seed))
+    return lloyd(drawn, start(drawn, k, seed, column), iters, seed, column)
 
 
 def centroid_table(spark, centroids: np.ndarray) -> DataFrame:

@@ -51,14 +51,22 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
-    """All squared distances of two blocks; exact for codes, whose sums stay below 2**53."""
+    """All squared distances of two blocks; exact for codes, whose sums stay below 2**53.
+
+    Those of floats are summed from the first dimension on, as the relational plan does, so both give equal doubles.
+    """
     q, v = q.astype(np.float64), v.astype(np.float64)
     if metric == "i8":
         w = np.ones(q.shape[1])
         w[[i for i in K.SENTINEL_DIMS if i < len(w)]] = np.sqrt(K.SENTINEL_WEIGHT)
         q, v = q * w, v * w
     if metric == "float":
-        return np.stack([((v - row) ** 2).sum(axis=1) for row in q])
+        total = np.zeros((len(q), len(v)))
+        for x, y in zip(q.T, v.T, strict=True):
+            step = x[:, None] - y[None, :]
+            step *= step
+            total += step
+        return total
     return (q * q).sum(axis=1)[:, None] - 2 * (q @ v.T) + (v * v).sum(axis=1)[None, :]
 
 

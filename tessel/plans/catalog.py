@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from tessel.functions import vectors as V
 from tessel.operators import evaluate, ivf, kmeans, knn
 from tessel.operators.ranks import positions
 from tessel.plans.oracle import ORACLES
-from tessel.session import scratch_folder
+from tessel.session import scratch_folder, stored
 from tessel.sources import index_store, payload, tables
 from tessel.streaming import score
 
@@ -28,8 +29,10 @@ def _transactions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _columns() -> dict[str, Column]:
-    names = ["amount", "installments", "requested_at", "customer_avg", "tx_count_24h", "known_merchants", "merchant_id", "mcc", "merchant_avg", "is_online", "card_present", "km_from_home", "last_at", "km_from_current"]
-    return {n: F.col(n) for n in names}
+    """A transaction's values by name; of the known merchants only whether this one is among them is asked."""
+    names = ["amount", "installments", "requested_at", "customer_avg", "tx_count_24h", "merchant_id", "mcc", "merchant_avg", "is_online", "card_present", "km_from_home", "last_at", "km_from_current"]
+    known = F.when(F.col("seen_before"), F.array("merchant_id")).otherwise(F.array().cast("array<string>"))
+    return {n: F.col(n) for n in names} | {"known_merchants": known}
 
 
 def feat_amount_ratio(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,11 +79,31 @@ def json_payload_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return read.select("event_id", *[code(F.col("vector")[i]).alias(f"f{i:02d}") for i in range(K.DIMS)])
 
 
+#: Bodies that :func:`json_fallback` reads by turns (the one after the last is null).
+DAMAGED = [
+    "{bad",
+    "[1]",
+    "{}",
+    '{"transaction":{"amount":5.0,"installments":2.5}}',
+    '{"transaction":{"amount":5000.0},"other":[1,{"x":2}]}',
+    '{"transaction":{"requested_at":"yesterday"}}',
+    '{"transaction":{"amount":null}}',
+    '{"merchant":{"mcc":5411}}',
+    '{"merchant":{"id":7}}',
+    '{"terminal":{"is_online":null}}',
+    '{"customer":{"avg_amount":null}}',
+    '{"last_transaction":{"km_from_current":null}}',
+    '{"merchant":{"id":null,"mcc":null,"avg_amount":2},"last_transaction":null}',
+    '{"customer":{"tx_count_24h":"3"}}',
+    '{"last_transaction":{"timestamp":5}}',
+    '{"transaction":{"requested_at":null}}',
+]
+
+
 def json_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    """Bodies damaged in seven ways by turns."""
-    body = F.when(F.col("event_id") % 7 == 0, "{bad").when(F.col("event_id") % 7 == 1, "[1]").when(F.col("event_id") % 7 == 2, "{}")
-    body = body.when(F.col("event_id") % 7 == 3, '{"transaction":{"amount":5.0,"installments":2.5}}').when(F.col("event_id") % 7 == 4, '{"transaction":{"amount":5000.0},"other":[1,{"x":2}]}')
-    body = body.when(F.col("event_id") % 7 == 5, '{"transaction":{"requested_at":"yesterday"}}')
+    """Bodies that are damaged, or have nulls or other types in their fields, by turns."""
+    turn = (F.col("event_id") % (len(DAMAGED) + 1)).cast("int")
+    body = F.try_element_at(F.array(*map(F.lit, DAMAGED)), turn + 1)
     read = payload.with_features(tables.table(spark, sf, "events").select("event_id", body.alias("body")))
     return read.select("event_id", "fallback", code(F.col("vector")[0]).alias("amount"), code(F.col("vector")[4]).alias("weekday"), decision.response_body(F.when(~F.col("fallback"), F.lit(3))).alias("response"))
 
@@ -215,9 +238,10 @@ def ivf_search_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return ivf.search(tables.search_queries(refs), _assigned(refs), _centroids(refs), DIMS, 4, "arrow").select("qid", "fc", "approved")
 
 
-def _adaptive(spark: SparkSession, sf: str, nlow: int = 3, nhigh: int = 10) -> DataFrame:
+def _adaptive(spark: SparkSession, sf: str, nlow: int = 3, nhigh: int = 10, assigned: DataFrame | None = None) -> DataFrame:
+    """The adaptive search; the assignment is read twice, so it is written first."""
     refs = _refs(spark, sf)
-    return ivf.adaptive(tables.search_queries(refs), _assigned(refs), _centroids(refs), DIMS, nlow, nhigh)
+    return ivf.adaptive(tables.search_queries(refs), stored(_assigned(refs)) if assigned is None else assigned, _centroids(refs), DIMS, nlow, nhigh)
 
 
 def ivf_adaptive(spark: SparkSession, sf: str) -> DataFrame:
@@ -242,6 +266,20 @@ def kmeans_train(spark: SparkSession, sf: str) -> DataFrame:
     return table.join(counts, F.col("centroid_id") == F.col("bucket_id")).select("centroid_id", "centroid", "cnt")
 
 
+def kmeans_lloyd(spark: SparkSession, sf: str) -> DataFrame:
+    """Three steps on the codes of all references; the first ids are the start, with two that can't win any row."""
+    refs = stored(_refs(spark, sf).select("ref_id", "q16"))
+    first = {r["ref_id"]: r["q16"] for r in refs.where(F.col("ref_id") < BUCKETS).collect()}
+    begin = np.array([first[i] if i < BUCKETS - 2 else first[0] if i == BUCKETS - 2 else [30000] * DIMS for i in range(BUCKETS)], dtype=np.float64)
+    centroids, _ = kmeans.lloyd(refs, begin, 3, seed=1, column="q16", codes=True)
+    table = spark.createDataFrame([(i, [int(x) for x in c]) for i, c in enumerate(centroids)], "centroid_id long, c array<smallint>")
+    counts = ivf.bucket_counts(ivf.assign(refs, table, DIMS, "arrow"), BUCKETS)
+    wide = F.transform("c", lambda x: x.cast("bigint"))
+    total = F.aggregate(wide, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    placed = F.aggregate(F.transform(wide, lambda x, i: x * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return table.join(counts, F.col("centroid_id") == F.col("bucket_id")).select("centroid_id", "cnt", total.alias("total"), placed.alias("placed"))
+
+
 def _expected(spark: SparkSession, sf: str) -> DataFrame:
     return knn.vote(_exact(spark, sf, "i16")).select("qid", F.col("approved").alias("expected"))
 
@@ -278,10 +316,11 @@ def sweep_nprobe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sweep_adaptive(spark: SparkSession, sf: str) -> DataFrame:
-    expected, out = _expected(spark, sf), None
+    expected, out, assigned = stored(_expected(spark, sf)), None, stored(_assigned(_refs(spark, sf)))
     for low, high in ADAPTIVE:
-        got = _adaptive(spark, sf, low, high).join(expected, "qid").select(F.lit(low).alias("nlow"), F.lit(high).alias("nhigh"), "scanned", "approved", "expected")
+        got = _adaptive(spark, sf, low, high, assigned).join(expected, "qid").select(F.lit(low).alias("nlow"), F.lit(high).alias("nhigh"), "scanned", "approved", "expected")
         out = got if out is None else out.unionByName(got)
+    out = stored(out)
     counts = evaluate.with_scores(evaluate.confusion(out, ("nlow", "nhigh")))
     scanned = out.groupBy("nlow", "nhigh").agg(F.round(F.avg("scanned"), 6).alias("avg_scanned"))
     return counts.join(scanned, ["nlow", "nhigh"]).select("nlow", "nhigh", "n", "fp", "fn", "e", "det_score", "avg_scanned")
@@ -341,11 +380,27 @@ def round_robin(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def test_set_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """A labelled test set written as JSON, read back in its order."""
-    rows = _transactions(spark, sf).select("event_id", tables.payload_body().alias("body"), "fraud")
+    """All transactions written as labelled test sets of 4096 ids each, read back in their order."""
+    rows = _transactions(spark, sf).select(F.floor(F.col("event_id") / 4096).alias("block"), "event_id", F.to_json(F.struct((~F.col("fraud")).alias("expected_approved"))).alias("head"), tables.payload_body().alias("body"))
+    entry = F.concat(F.expr("substr(head, 1, length(head) - 1)"), F.lit(',"request":'), F.col("body"), F.lit("}"))
+    sets = rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("event_id", entry.alias("entry")))).alias("rows"))
+    path = f"{scratch_folder(spark)}/sets"
+    sets.select("block", F.concat(F.lit('{"entries":['), F.array_join(F.col("rows.entry"), ","), F.lit("]}")).alias("value")).write.partitionBy("block").text(path)
+    read = payload.read_test_set(spark, path).withColumn("order", F.col("block").cast("long") * 4096 + F.col("entry")).drop("entry")
     parsed = payload.parse(F.col("body"))
-    read = positions(rows, [], "event_id", "entry").withColumn("p", parsed)
-    return read.select("entry", (~F.col("fraud")).alias("expected_approved"), F.col("p.merchant.id").alias("merchant"), F.col("p.transaction.installments").alias("installments"))
+    read = positions(read, [], "order", "entry").withColumn("p", parsed)
+    return read.select("entry", "expected_approved", F.col("p.merchant.id").alias("merchant"), F.col("p.transaction.installments").alias("installments"))
+
+
+def reference_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """All references written as gzip JSON arrays of 4096 ids each, read back in their order."""
+    refs = tables.references(spark, sf).select("ref_id", "vector", F.when(F.col("fraud") == 1, "fraud").otherwise("legit").alias("label"))
+    arrays = refs.groupBy(F.lpad(F.floor(F.col("ref_id") / 4096).cast("string"), 12, "0").alias("block")).agg(F.array_sort(F.collect_list(F.struct("ref_id", "vector", "label"))).alias("rows"))
+    path = f"{scratch_folder(spark)}/references"
+    arrays.select("block", F.to_json(F.transform("rows", lambda r: F.struct(r["vector"].alias("vector"), r["label"].alias("label")))).alias("value")).write.partitionBy("block").option("compression", "gzip").text(path)
+    read = payload.read_references(spark, path)
+    total = F.aggregate(V.quantize_vector_i16(F.col("vector")), F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
+    return read.select("ref_id", "fraud", total.alias("total"))
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if name in {
@@ -355,6 +410,7 @@ QUERIES = {name: f for name, f in list(globals().items()) if name in {
     "ivf_permutation", "label_bitset", "label_roundtrip", "ivf_probe", "ivf_search", "ivf_search_blocks", "ivf_adaptive", "ivf_scanned",
     "kmeans_step", "kmeans_train", "eval_confusion", "eval_det_score", "eval_percentiles", "eval_p99_score", "sweep_nprobe", "sweep_adaptive",
     "diag_methods", "response_body", "index_roundtrip", "score_batch", "score_stream", "round_robin", "test_set_scan",
+    "reference_scan", "kmeans_lloyd",
 }}
 
 __all__ = ["ORACLES", "QUERIES"]

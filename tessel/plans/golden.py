@@ -7,6 +7,7 @@ import json
 from tessel.sources.payload import with_features
 
 TOLERANCE = 1e-3
+#: Two requests and the features that they must have.
 GOLDEN = {
     "legit": (
         {

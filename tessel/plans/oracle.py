@@ -157,7 +157,47 @@ def _nearest(metric: str) -> str:
     return f"WITH {REFS}, {exact(metric)} SELECT qid, CAST(rk AS INTEGER) AS rk, ref_id, {'round(d, 6)' if metric == 'float' else 'd'} AS d FROM near"
 
 
-_FALLBACK = "event_id % 7 IN (0, 1, 3, 5, 6)"
+_DIMS14 = [f"f{i:02d}" for i in range(14)]
+_D14 = " + ".join(f"(a.{f} - c.{f}) * (a.{f} - c.{f})" for f in _DIMS14)
+_FIVE = "row_number() OVER (PARTITION BY qid, upto ORDER BY d, rk, ref_id) AS rn"
+#: The whole path: features of all transactions, 16 centroids, one or two buckets a request, response.
+SCORED = f"""
+WITH {TX}, v AS (SELECT event_id, CAST(fraud AS INTEGER) AS fraud, {', '.join(f'CAST({code(x)} AS BIGINT) AS f{i:02d}' for i, x in enumerate(_F))} FROM tx),
+near AS (
+  SELECT qid, cid, row_number() OVER (PARTITION BY qid ORDER BY d, cid) AS rk
+  FROM (SELECT a.event_id AS qid, c.event_id AS cid, {_D14} AS d FROM v a JOIN v c ON c.event_id < 16)
+), pairs AS (
+  SELECT p.qid, p.rk, c.event_id AS ref_id, c.fraud, {_D14} AS d
+  FROM near p JOIN near b ON b.cid = p.cid AND b.rk = 1 JOIN v a ON a.event_id = p.qid JOIN v c ON c.event_id = b.qid WHERE p.rk <= 2
+), five AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, rk ORDER BY d, ref_id) AS own FROM pairs) WHERE own <= 5
+), votes AS (
+  SELECT qid, upto, CAST(sum(fraud) AS INTEGER) AS fc FROM (
+    SELECT *, {_FIVE} FROM (SELECT f.*, u.upto FROM five f JOIN (VALUES (1), (2)) u(upto) ON f.rk <= u.upto)) WHERE rn <= 5 GROUP BY qid, upto
+), found AS (
+  SELECT e.event_id AS qid, CASE WHEN coalesce(o.fc, 0) IN (0, 5) THEN 1 ELSE 2 END AS scanned, coalesce(CASE WHEN coalesce(o.fc, 0) IN (0, 5) THEN o.fc ELSE t.fc END, 0) AS fc
+  FROM v e LEFT JOIN votes o ON o.qid = e.event_id AND o.upto = 1 LEFT JOIN votes t ON t.qid = e.event_id AND t.upto = 2
+)
+SELECT qid AS request_id, false AS fallback, CAST(scanned AS INTEGER) AS scanned, CAST(fc AS INTEGER) AS fc, fc < 3 AS approved, {_RESPONSES}[fc + 1] AS response FROM found"""
+
+
+def _lloyd(steps: int) -> str:
+    """Steps of k-means on the codes, written out one after the other; empty centroids take the next drawn rows."""
+    sql = f"""WITH {REFS}, k0 AS (SELECT b.range AS cid, CASE WHEN b.range = {BUCKETS - 1} THEN list_transform(range({DIMS}), lambda x: CAST(30000 AS BIGINT)) ELSE q16 END AS c
+        FROM range({BUCKETS}) b JOIN refs ON ref_id = CASE WHEN b.range < {BUCKETS - 2} THEN b.range ELSE 0 END)"""
+    for i in range(steps + 1):
+        sql += f""", a{i} AS (SELECT ref_id, q16, cid FROM (SELECT ref_id, q16, cid, row_number() OVER (PARTITION BY ref_id ORDER BY {dist('q16', 'c')}, cid) AS rn FROM refs, k{i}) WHERE rn = 1)"""
+        if i < steps:
+            sql += f""", m{i} AS (SELECT cid, list(CAST(floor(total / n::DOUBLE + 0.5) AS BIGINT) ORDER BY dim) AS c FROM (
+              SELECT cid, dim, CAST(sum(q16[dim + 1]) AS BIGINT) AS total, count(*) AS n FROM a{i}, (SELECT range AS dim FROM range({DIMS})) GROUP BY cid, dim) GROUP BY cid),
+            e{i} AS (SELECT cid, row_number() OVER (ORDER BY cid) AS turn FROM k{i} WHERE cid NOT IN (SELECT cid FROM m{i})),
+            r{i} AS (SELECT q16, row_number() OVER (ORDER BY ((ref_id % 2147483647) * 1103515245 + {2 + i} * 40503) % 2147483647, ref_id) AS turn FROM refs),
+            k{i + 1} AS (SELECT * FROM m{i} UNION ALL SELECT cid, q16 FROM e{i} JOIN r{i} USING (turn))"""
+    return sql + f""" SELECT cid AS centroid_id, (SELECT count(*) FROM a{steps} WHERE a{steps}.cid = k{steps}.cid) AS cnt, CAST(list_sum(c) AS BIGINT) AS total,
+        CAST(list_sum(list_transform(list_zip(c, range(1, {DIMS + 1})), lambda z: z[1] * z[2])) AS BIGINT) AS placed FROM k{steps}"""
+
+
+_FALLBACK = "event_id % 17 NOT IN (2, 4, 12)"
 
 ORACLES: dict[str, str] = {
     "feat_amount_ratio": _tx(f"{code(_F[0])} AS amount, {code(_F[2])} AS ratio, {code(_F[13])} AS merchant"),
@@ -169,7 +209,7 @@ ORACLES: dict[str, str] = {
     "feat_vector14": _tx(_VECTOR),
     "json_payload_roundtrip": _tx(_VECTOR),
     "json_fallback": f"""SELECT event_id, {_FALLBACK} AS fallback,
-        CASE event_id % 7 WHEN 2 THEN 0 WHEN 4 THEN 5000 END AS amount, CASE WHEN event_id % 7 IN (2, 4) THEN 0 END AS weekday,
+        CASE event_id % 17 WHEN 2 THEN 0 WHEN 4 THEN 5000 WHEN 12 THEN 0 END AS amount, CASE WHEN event_id % 17 IN (2, 4, 12) THEN 0 END AS weekday,
         CASE WHEN {_FALLBACK} THEN '{K.RESPONSES[0]}' ELSE '{K.RESPONSES[3]}' END AS response FROM events""",
     "iso8601_offset": """SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN CAST(hour(ts) AS INTEGER) END AS hour,
         CASE WHEN event_id % 11 <> 0 THEN CAST(isodow(ts) - 1 AS INTEGER) END AS weekday, CASE WHEN event_id % 11 <> 0 THEN epoch_us(ts) END AS micros FROM events""",
@@ -217,6 +257,10 @@ ORACLES: dict[str, str] = {
         SELECT method, n, fp, fn, fp + 3 * fn AS e, round({_PROJECTED}, 6) AS det_projected FROM conf""",
     "response_body": f"{SEARCH}, {adaptive(3, 10)} SELECT qid, {_RESPONSES}[fc + 1] AS body FROM found",
     "index_roundtrip": f"{IVF}, {PLACED} SELECT ref_id, CAST(bucket_id // 32 AS INTEGER) AS part, bucket_id, pos, CAST(fraud AS TINYINT) AS fraud, CAST(list_sum(q16) AS BIGINT) AS total FROM placed",
+    "score_batch": SCORED,
+    "score_stream": SCORED,
+    "kmeans_lloyd": _lloyd(3),
+    "reference_scan": f"WITH {REFS} SELECT row_number() OVER (ORDER BY ref_id) - 1 AS ref_id, CAST(fraud AS TINYINT) AS fraud, CAST(list_sum(q16) AS BIGINT) AS total FROM refs",
     "round_robin": "SELECT event_id, CAST((row_number() OVER (ORDER BY event_id) - 1) % 2 AS INTEGER) AS instance FROM events",
     "test_set_scan": f"WITH {TX} SELECT row_number() OVER (ORDER BY event_id) - 1 AS entry, NOT fraud AS expected_approved, coalesce('MERC-' || lpad(CAST(k AS VARCHAR), 3, '0'), '') AS merchant, installments FROM tx",
 }

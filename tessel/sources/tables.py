@@ -31,7 +31,8 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One transaction per row of ``events``; running windows by user.
 
     ``known_merchants`` holds each merchant of all the user's earlier events once, in order of their names, so a
-    row grows with the merchants and not with the history. An event without a merchant (``props`` null or without
+    row grows with the merchants and not with the history; ``seen_before`` says whether the event's own is among
+    them, for which no list is made. An event without a merchant (``props`` null or without
     ``k``) has the defaults of a request that leaves it out: no id, no category, zeros. Money is whole hundredths inside windows, so sums don't hang on the order of the rows.
     """
     k = F.get_json_object("props", "$.k").cast("int")
@@ -46,6 +47,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n > 0, total * 20 / 100.0 / n).otherwise(F.lit(0.0)).alias("customer_avg"),
         (F.count(F.lit(1)).over(day) - 1).cast("int").alias("tx_count_24h"),
         F.array_sort(F.collect_set(F.concat(F.lit("MERC-"), F.lpad(F.col("k").cast("string"), 3, "0"))).over(before)).alias("known_merchants"),
+        (F.col("k").isNotNull() & (F.row_number().over(Window.partitionBy("user_id", "k").orderBy("ts", "event_id")) > 1)).alias("seen_before"),
         F.lag("ts").over(user).alias("last_ts"),
         F.lag("k").over(user).alias("last_k"),
     )
@@ -62,6 +64,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "customer_avg",
         "tx_count_24h",
         "known_merchants",
+        "seen_before",
         F.coalesce(merchant, F.lit("")).alias("merchant_id"),
         mcc.alias("mcc"),
         F.coalesce("merchant_avg", F.lit(0.0)).alias("merchant_avg"),

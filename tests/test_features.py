@@ -37,6 +37,21 @@ def test_damaged_bodies_fall_back(spark):
     assert all(fallback and v is None for fallback, v in scored(spark, bad))
 
 
+def test_nulls_and_other_types_of_scalars_fall_back(spark):
+    parts = {
+        "transaction": ("amount", "installments", "requested_at"),
+        "customer": ("avg_amount", "tx_count_24h"),
+        "merchant": ("avg_amount",),
+        "terminal": ("is_online", "card_present", "km_from_home"),
+        "last_transaction": ("timestamp", "km_from_current"),
+    }
+    bad = [json.dumps({part: {field: value}}) for part, fields in parts.items() for field in fields for value in (None, [1], {"a": 1}, "NaN" if field != "requested_at" else 5)]
+    bad += ['{"merchant":{"mcc":5411}}', '{"merchant":{"id":7}}', '{"merchant":{"id":true}}', '{"merchant":{"mcc":["5411"]}}', '{"terminal":{"is_online":1}}', '{"customer":{"tx_count_24h":2.0}}']
+    assert [b for b, (fallback, _) in zip(bad, scored(spark, bad), strict=True) if not fallback] == []
+    good = ['{"merchant":{"id":null,"mcc":null}}', '{"transaction":null,"customer":null,"merchant":null,"terminal":null,"last_transaction":null}', '{"transaction":{"amount":7}}', '{"transaction":{"amount":7.25e1}}', '{"customer":{"known_merchants":null}}']
+    assert [fallback for fallback, _ in scored(spark, good)] == [False] * 5
+
+
 def test_defaults(spark):
     (a, v), (b, w), (c, x) = scored(spark, ["{}", '{"merchant":{"mcc":"9999"},"customer":{"avg_amount":-1},"transaction":{"amount":5}}', '{"customer":{"known_merchants":["M","M"]},"merchant":{"id":"M"},"later":{"a":[1]}}'])
     assert not (a or b or c)
