@@ -105,9 +105,53 @@ def test_equal_ids_of_different_texts(spark):
     assert sorted((r.doc_id, r.n_copies) for r in J.join(documents(spark, rows)).collect()) == [(1, 0), (1, 1), (2, 0), (3, 1)]
 
 
-def test_depth_meets_the_recall():
-    d = J.forest_depth(0.8, 0.99999)
-    assert 1 - (1 - 0.8**d) ** J.TREES >= 0.99999 > 1 - (1 - 0.8 ** (d + 1)) ** J.TREES
+def missed(depths, t=0.8):
+    return float(np.prod([1 - t**d for d in depths]))
+
+
+def test_depths_meet_the_recall():
+    floor = J.shortest_prefix(0.8, 0.99999)
+    assert missed([floor] * J.TREES) <= 1e-5 < missed([floor + 1] * J.TREES)
+    rng = np.random.default_rng(3)
+    ends = set()
+    for _ in range(200):
+        # Members of the nodes on a path: fewer the longer the prefix, many in some tries.
+        sizes = np.sort(rng.integers(1, rng.integers(2, 10_000), (J.TREES, J.DEPTH - floor + 1)), axis=1)[:, ::-1]
+        depth = J.opened_depths(sizes, 0.8, 0.99999)
+        assert depth.min() >= floor and depth.max() <= J.DEPTH and missed(depth) <= 1e-5
+        ends.add(tuple(depth.tolist()))
+        # Less shortening isn't enough: the last step was needed.
+        cost = lambda d, sizes=sizes: sum(sizes[i, x - floor] for i, x in enumerate(d))
+        assert cost(depth) <= cost([floor] * J.TREES)
+    assert len(ends) > 100
+    crowded = np.ones((J.TREES, J.DEPTH - floor + 1), int)
+    crowded[:4] = [[1000 - j for j in range(J.DEPTH - floor + 1)]] * 4
+    depth = J.opened_depths(crowded, 0.8, 0.99999)
+    assert depth[:4].min() == J.DEPTH and depth[4:].min() == floor  # only where it costs nothing
+
+
+def boilerplate(seed, n=400, shared=60, own=25):
+    """Texts with a long passage in common: crowded in many tries, similar to few."""
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(shared)]
+    out = [" ".join(passage + [f"{rng.randrange(10**6)}w" for _ in range(own)]) for _ in range(n)]
+    for i in range(0, n, 5):  # near copies of some
+        words = out[i].split()
+        words[rng.randrange(len(words))] = "changed"
+        out.append(" ".join(words))
+    return list(enumerate(out))
+
+
+def test_sets_end_at_different_depths(spark, monkeypatch):
+    docs = boilerplate(4) + [(10_000 + i, t) for i, t in corpus(5, 10, 6)]
+    df = documents(spark, [(i, t, "en", "s", 1, "x") for i, t in docs])
+    seen = {}
+    monkeypatch.setattr(J, "written", lambda frame, name, own=J.written: seen.setdefault(name, own(frame, name)))
+    assert got(J.join(df, crowd=16)) == brute(docs)
+    used = {r.depth: r["count"] for r in seen["jaccard-paths"].where("wanted").groupBy("depth").count().collect()}
+    assert len(used) > 1 and min(used) == 0 and max(used) > 0  # some crowded nodes are shortened, others aren't
+    every = J.join(df, crowd=10**6)
+    assert got(every) == brute(docs)
 
 
 def test_dense_and_sparse_verification_agree():
@@ -127,14 +171,12 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_longer_prefixes_add_no_pair():
-    """Why fixed bands may stand for a forest: what meets on more levels meets on the fixed ones."""
-    rng = np.random.default_rng(7)
-    kept = rng.random((60, 40)) < 0.9
-    hashes = [np.unique(rng.integers(0, 1 << 63, 40, dtype=np.uint64)) for _ in range(4)]
-    sets = [hashes[i % 4][kept[i]] for i in range(60)]
-    cuts = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-    depth = J.forest_depth(0.8, 0.99999)
-    assert depth == 4 and 1 - (1 - 0.8 ** (depth + 1)) ** J.TREES < 0.99999
-    pairs = [set(map(tuple, J.forest_pairs(s, s, True).tolist())) for s in (J.signatures(np.concatenate(sets), cuts, d) for d in range(depth, J.DEPTH + 1))]
-    assert pairs[0] and all(longer <= shorter for shorter, longer in zip(pairs, pairs[1:], strict=False))
+def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    from tessel.llm import components as C
+
+    n, rounds = 10_000, []
+    chain = spark.range(n).selectExpr("id as a", "id + 1 as b")
+    monkeypatch.setattr(C, "written", lambda frame, name, own=C.written: (rounds.append(name), own(frame, name))[1])
+    found = C.components(chain)
+    assert found.where("label != 0").count() == 0 and found.count() == n + 1
+    assert rounds.count("components-first") <= 20
