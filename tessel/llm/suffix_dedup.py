@@ -7,17 +7,19 @@ the corpus is first cut into *runs* between which no comparison is needed:
 1. Of the ``length - GRAM + 1`` grams in a string the one with the smallest hash (the rightmost of equal
    ones) is its anchor. It depends on the string alone, so equal strings have equal anchors at equal
    places. Consecutive strings with the same anchor form a run; a run has one gram, its anchor.
-2. Runs meet by the hash of their anchor; runs whose anchor occurs once are done. Runs that are equal as
-   a whole (two 64-bit hashes) keep the first and lose the rest without any text being moved; within a
-   map task that is settled before the shuffle, so a passage in a third of all documents sends one run
-   per task.
-3. The texts of the first runs of each kind, where an anchor has several kinds (the edges of passages),
-   are fetched. Their strings are put in suffix order; previous and next smaller positions give the
-   longest previous factor of each, and those of at least ``length`` bytes go.
-4. An anchor with more than ``crowd`` kinds is not gathered in one task: its strings meet by their own
-   hash, again after the repeats within a task are settled.
-
-Runs travel as packed arrays, one row for each map batch and partition.
+2. Runs meet by the hash of their anchor; those whose anchor occurs once are done. Within a map task runs that
+   are equal as a whole, byte for byte, are settled before the shuffle, so a passage in a third of all documents
+   sends a run per task.
+3. The bytes of all other runs are fetched and put in suffix order, anchor by anchor. Previous and next smaller
+   positions give the longest previous factor of each run; those as long as the run remove it whole. What is left of
+   an anchor with several runs (the edges of passages) is done again string by string: strings whose longest previous
+   factor has ``length`` bytes go. A task reduces what it holds to first runs whenever it has grown.
+4. An anchor with more than ``crowd`` kinds of runs, as one in a passage that very many documents hold among other
+   words, is split: its strings go on as runs of one string, with the string's own hash as the anchor, and through
+   steps 2 and 3 once more. Few of them occur twice.
+
+Hashes only decide which runs and strings meet; what goes is decided on the bytes. Runs travel as packed arrays, one
+row for each map batch and partition.
 """
 
 from __future__ import annotations
@@ -38,14 +40,18 @@ GRAM = 32
 PIECE, LOW = 1 << 18, 20
 #: Runs that a map task gathers before it settles the repeats among them and sends the rest.
 SETTLE = 250_000
-#: Strings that are put in suffix order at once; together they take about 400 bytes each.
-STRINGS = 25_000
+#: Strings, and runs, that are put in suffix order at once; together they take about 400 bytes each.
+STRINGS, ORDERED = 25_000, 20_000
+#: Bytes of runs that a task holds before it reduces them, and bytes of texts to a partition of runs.
+REDUCE, SHARE = 64 << 20, 64 << 20
+#: Longer strings would not fit a run's length, and hardly be repeated passages.
+MOST_LENGTH = 1 << 15
 _MASK = np.uint64((1 << LOW) - 1)
 
 #: A run: anchor hash, content hash, document, first string's start, number of strings.
-RUN = np.dtype([("h", "<u8"), ("r", "<u8"), ("doc", "<i8"), ("s", "<i4"), ("n", "<u1")])
+RUN = np.dtype([("h", "<u8"), ("r", "<u8"), ("doc", "<i8"), ("s", "<i4"), ("n", "<u2")])
 SPAN = np.dtype([("doc", "<i8"), ("s", "<i4"), ("e", "<i4")])
-ASK = np.dtype([("doc", "<i8"), ("h", "<u8"), ("s", "<i4"), ("n", "<u1"), ("crowded", "<u1")])
+ASK = np.dtype([("doc", "<i8"), ("h", "<u8"), ("s", "<i4"), ("n", "<u2"), ("crowded", "<u1")])
 NO_ID = (1 << 63) - 1
 
 
@@ -96,15 +102,27 @@ def runs_of(at: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray,
     return grams[anchor], content, first, last_of - first + 1
 
 
-def settle(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the first run of each kind, the later ones), both by anchor and kind, then position."""
+def gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The slices of ``data`` one after the other."""
+    return data[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())] if len(sizes) else data[:0]
+
+
+def settle(runs: np.ndarray, data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the first run of each kind, the later ones); ``data[at[i]:]`` begins with the bytes of run i.
+
+    Runs of equal hashes lie side by side, by position; one goes if its bytes are those of the one before.
+    """
     order = np.lexsort((runs["s"], runs["doc"], runs["r"], runs["h"]))
-    runs = runs[order]
+    runs, at = runs[order], at[order]
     same = np.zeros(len(runs), bool)
-    same[1:] = (runs["h"][1:] == runs["h"][:-1]) & (runs["r"][1:] == runs["r"][:-1])
-    again = np.zeros(len(runs), bool)  # the very same place, from a row that repeats id and text
-    again[1:] = same[1:] & (runs["doc"][1:] == runs["doc"][:-1]) & (runs["s"][1:] == runs["s"][:-1])
-    return runs[~same], runs[same & ~again]
+    same[1:] = (runs["h"][1:] == runs["h"][:-1]) & (runs["r"][1:] == runs["r"][:-1]) & (runs["n"][1:] == runs["n"][:-1])
+    again = np.flatnonzero(same)
+    sizes = runs["n"].astype(np.int64) + length - 1
+    for i in range(0, len(again), ORDERED):
+        some = again[i : i + ORDERED]
+        equal = gather(data, at[some], sizes[some]) == gather(data, at[some - 1], sizes[some])
+        same[some] = np.logical_and.reduceat(equal, np.cumsum(sizes[some]) - sizes[some])
+    return runs[~same], runs[same]
 
 
 def span_rows(runs: np.ndarray, length: int) -> np.ndarray:
@@ -183,30 +201,70 @@ def longest_previous(position: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     return np.maximum(before, after[::-1])
 
 
-def repeated_strings(asks: np.ndarray, starts: np.ndarray, texts: np.ndarray, length: int) -> np.ndarray:
-    """Spans of the strings of the runs ``asks`` that occur earlier under the same anchor.
+def by_position(docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    position = np.empty(len(docs), np.int64)
+    position[np.lexsort((starts, docs))] = np.arange(len(docs))
+    return position
+
+
+def in_suffix_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lcp) of equally wide rows of bytes; ``lcp[i]`` is of the places i - 1 and i."""
+    width = rows.shape[1]
+    order = np.argsort(np.ascontiguousarray(rows).reshape(-1).view(f"S{width}"), kind="stable")
+    rows = rows[order]
+    lcp = np.full(len(rows), width)
+    unequal = rows[1:] != rows[:-1]
+    differs = unequal.any(axis=1)
+    lcp[1:][differs] = unequal[differs].argmax(axis=1)
+    return order, lcp
+
 
-    ``texts`` holds the bytes of run i from ``starts[i]`` on. Suffixes are compared up to ``length``
-    bytes, with the anchor's hash before them.
+def anchor_bytes(asks: np.ndarray) -> np.ndarray:
+    return asks["h"].astype(">u8").view(np.uint8).reshape(-1, 8)
+
+
+def anchor_groups(asks: np.ndarray, weight: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of ``asks``, sorted by anchor, of about ``most`` in weight; an anchor's runs stay together."""
+    total = np.cumsum(weight)
+    edge = np.flatnonzero(np.concatenate(([True], asks["h"][1:] != asks["h"][:-1])))
+    group = (total[edge] - weight[edge]) // most
+    cuts = edge[np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))]
+    for s, e in zip(cuts, [*cuts[1:], len(asks)], strict=True):
+        yield slice(s, e)
+
+
+def repeated_runs(asks: np.ndarray, starts: np.ndarray, texts: np.ndarray, length: int) -> np.ndarray:
+    """Whether each run occurs as a whole in an earlier one under the same anchor.
+
+    ``texts`` holds the bytes of run i from ``starts[i]`` on. Runs are compared as suffixes of their documents, as far
+    as they reach, with the anchor's hash before them.
     """
+    sizes = asks["n"].astype(np.int64) + length - 1
+    place = np.arange(sizes.max())
+    rows = np.zeros((len(asks), 8 + len(place)), np.uint8)
+    rows[:, :8] = anchor_bytes(asks)
+    inside = place < sizes[:, None]
+    rows[:, 8:][inside] = gather(texts, starts, sizes)
+    order, lcp = in_suffix_order(rows)
+    reach = 8 + sizes[order]
+    lcp[1:] = np.minimum(lcp[1:], np.minimum(reach[1:], reach[:-1]))  # what stands beyond a run's end is not its own
+    gone = np.empty(len(asks), bool)
+    gone[order] = longest_previous(by_position(asks["doc"], asks["s"])[order], lcp) >= reach
+    return gone
+
+
+def repeated_strings(asks: np.ndarray, starts: np.ndarray, texts: np.ndarray, length: int) -> np.ndarray:
+    """Spans of the strings of the runs ``asks`` that occur earlier under the same anchor; as :func:`repeated_runs`."""
     n = asks["n"].astype(np.int64)
     run = np.repeat(np.arange(len(asks)), n)
     shift = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
     view = np.lib.stride_tricks.sliding_window_view(texts, length)
     strings = np.empty((len(run), 8 + length), np.uint8)
-    strings[:, :8] = asks["h"].astype(">u8").view(np.uint8).reshape(-1, 8)[run]
+    strings[:, :8] = anchor_bytes(asks)[run]
     strings[:, 8:] = view[starts[run] + shift]
     start = asks["s"][run] + shift
-    placed = np.lexsort((start, asks["doc"][run]))
-    position = np.empty(len(run), np.int64)
-    position[placed] = np.arange(len(run))
-    order = np.argsort(strings.reshape(-1).view(f"S{8 + length}"), kind="stable")
-    rows = strings[order]
-    lcp = np.full(len(run), 8 + length)
-    unequal = rows[1:] != rows[:-1]
-    differs = unequal.any(axis=1)
-    lcp[1:][differs] = unequal[differs].argmax(axis=1)
-    gone = order[longest_previous(position[order], lcp) >= 8 + length]
+    order, lcp = in_suffix_order(strings)
+    gone = order[longest_previous(by_position(asks["doc"][run], start)[order], lcp) >= 8 + length]
     out = np.empty(len(gone), SPAN)
     out["doc"], out["s"] = asks["doc"][run[gone]], start[gone]
     out["e"] = out["s"] + length
@@ -231,69 +289,77 @@ def joined(spans: np.ndarray) -> np.ndarray:
 def repeated_spans(docs: DataFrame, length: int = 100, crowd: int = 1024, parts: int | None = None) -> DataFrame:
     """(doc, spans): for documents that lose bytes, the joined spans as packed (start, end) pairs.
 
-    ``docs`` has doc (long, unique, in document order) and text, without nulls.
+    ``docs`` has doc (long, unique, in document order) and text, without nulls. ``parts`` is the number of partitions
+    of runs, by default one for each :data:`SHARE` bytes of text, and 64 at least.
     """
-    spark = docs.sparkSession
-    parts = parts or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if not 2 <= length <= MOST_LENGTH:
+        raise ValueError(f"length must be 2 to {MOST_LENGTH}")
+    if not parts:
+        parts = max(64, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARE))
 
-    def settled(found: list[np.ndarray]) -> pa.RecordBatch:
-        first, later = settle(np.concatenate(found))
+    def settled(found: list[np.ndarray], data: list[np.ndarray], at: list[np.ndarray]) -> pa.RecordBatch:
+        first, later = settle(np.concatenate(found), np.concatenate(data), np.concatenate(at), length)
         gone = joined(span_rows(later, length))
         return packed_batch([*packed(RUNS, first, spread(first["h"], parts)), *packed(SPANS, gone, spread(gone["doc"], parts))])
 
     def cut(batches):
-        found, held = [], 0
+        found, data, places, held, size = [], [], [], 0, 0
         for b in batches:
             ids = b["doc"].to_numpy()
-            for row, offset, at, data in pieces(b["text"], length):
-                h, r, s, n = runs_of(at, data, length)
+            for row, offset, at, part in pieces(b["text"], length):
+                h, r, s, n = runs_of(at, part, length)
                 if not len(h):
                     continue
                 runs = np.empty(len(h), RUN)
                 doc = np.searchsorted(at, s, "right") - 1
                 runs["h"], runs["r"], runs["doc"], runs["s"], runs["n"] = h, r, ids[row + doc], s - at[doc] + offset, n
                 found.append(runs)
+                data.append(part)
+                places.append(s + size)
                 held += len(runs)
+                size += len(part)
             if held >= SETTLE:
-                yield settled(found)
-                found, held = [], 0
+                yield settled(found, data, places)
+                found, data, places, held, size = [], [], [], 0, 0
         if found:
-            yield settled(found)
+            yield settled(found, data, places)
 
-    def gathered(batches) -> tuple[np.ndarray, list]:
-        runs, through = [], []
+    def sorted_rows(batches, wanted: int) -> tuple[list, list]:
+        """(packed rows of the kind, rows of other kinds)."""
+        mine, through = [], []
         for b in batches:
             for kind, part, data in zip(*(b[c].to_pylist() for c in ("kind", "part", "data")), strict=True):
-                runs.append(data) if kind == RUNS else through.append((kind, part, data))
-        return unpacked(runs, RUN), through
+                mine.append(data) if kind == wanted else through.append((kind, part, data))
+        return mine, through
 
-    def meet(batches):
-        """Later runs of each kind go; first ones of anchors with several kinds ask for their texts."""
-        runs, through = gathered(batches)
+    def meet(batches, split: bool = True):
+        """Runs whose anchor occurs several times ask for their bytes."""
+        found, through = sorted_rows(batches, RUNS)
         if through:
             yield packed_batch(through)
-        order = np.argsort(runs["h"], kind="stable")
-        h = runs["h"][order]
-        twice = np.zeros(len(h), bool)
-        twice[1:] = h[1:] == h[:-1]
+        runs = unpacked(found, RUN)
+        runs = runs[np.lexsort((runs["r"], runs["h"]))]
+        twice = np.zeros(len(runs), bool)
+        twice[1:] = runs["h"][1:] == runs["h"][:-1]
         twice[:-1] |= twice[1:].copy()
-        first, later = settle(runs[order[twice]])
-        gone = joined(span_rows(later, length))
-        _, where, kinds = np.unique(first["h"], return_inverse=True, return_counts=True)
-        kinds = kinds[where] if len(first) else kinds
-        several = first[kinds > 1] if len(first) else first
-        asks = np.empty(len(several), ASK)
+        runs = runs[twice]
+        asks = np.zeros(len(runs), ASK)
         for f in ("doc", "h", "s", "n"):
-            asks[f] = several[f]
-        asks["crowded"] = kinds[kinds > 1] > crowd if len(first) else 0
-        yield packed_batch([*packed(SPANS, gone, spread(gone["doc"], parts)), *packed(ASKS, asks, spread(asks["doc"], parts))])
+            asks[f] = runs[f]
+        if split and len(runs):
+            new = np.ones(len(runs), bool)
+            new[1:] = (runs["h"][1:] != runs["h"][:-1]) | (runs["r"][1:] != runs["r"][:-1])
+            _, where = np.unique(runs["h"], return_inverse=True)
+            asks["crowded"] = np.bincount(where, new)[where] > crowd
+        yield packed_batch(list(packed(ASKS, asks, spread(asks["doc"], parts))))
 
-    met = written(docs.select("doc", "text").mapInArrow(cut, PACKED).repartition(parts, "part").mapInArrow(meet, PACKED), "suffix-runs")
+    def meet_strings(batches):
+        return meet(batches, split=False)
 
     def by_doc(dtype: np.dtype, fields: tuple[str, ...], merge):
         """One row per document from the packed rows of its part."""
 
-        def gather(batches):
+        def collect(batches):
             rows = unpacked([x for b in batches for x in b["data"].to_pylist()], dtype)
             if not len(rows):
                 return
@@ -304,82 +370,107 @@ def repeated_spans(docs: DataFrame, length: int = 100, crowd: int = 1024, parts:
             for i in range(0, len(cuts), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(rows["doc"][cuts[i : i + 4096]]), pa.array(blobs[i : i + 4096], pa.binary())], list(fields))
 
-        return gather
+        return collect
 
-    asked = met.where(F.col("kind") == ASKS).repartition(parts, "part").mapInArrow(by_doc(ASK, ("ask_doc", "asks"), lambda x: x), "ask_doc long, asks binary")
-    asked = written(asked, "suffix-asks")
-    spans = met.where(F.col("kind") == SPANS)
-    if asked.limit(1).count():
-        # Most documents share an anchor with others, so this is a shuffle of their texts but for small tables.
-        with_text = docs.join(asked, docs["doc"] == F.col("ask_doc")).select("doc", "text", "asks")
-
-        def fetch(batches):
-            """Texts of plain runs go to their anchor's part, strings of crowded ones to their own."""
-            for b in batches:
-                out, crowded, plain, bodies = [], [], [], []
-                for text, blob in zip(b["text"].to_pylist(), b["asks"].to_pylist(), strict=True):
-                    data, asks = text.encode(), np.frombuffer(blob, ASK)
-                    for a in asks[asks["crowded"] == 0]:
-                        plain.append(a)
-                        bodies.append(data[a["s"] : a["s"] + int(a["n"]) + length - 1])
-                    for a in asks[asks["crowded"] == 1]:
-                        raw = np.frombuffer(data[a["s"] : a["s"] + int(a["n"]) + length - 1], np.uint8)
-                        s = np.arange(int(a["n"]))
-                        runs = np.empty(len(s), RUN)
-                        hashes = T.span_hash(T.prefix_hash(raw), s, s + length)
-                        runs["h"], runs["r"] = hashes, T.mix(T.span_hash(T.prefix_hash(raw), s, s + length // 2) + a["h"])
-                        runs["doc"], runs["s"], runs["n"] = a["doc"], a["s"] + s, 1
-                        crowded.append(runs)
-                if plain:
-                    asks = np.array(plain, ASK)
-                    part = spread(asks["h"], parts)
-                    for p in np.unique(part):
-                        mine = np.flatnonzero(part == p)
-                        body = b"".join(bodies[i] for i in mine)
-                        out.append((ASKS, int(p), len(mine).to_bytes(4, "little") + asks[mine].tobytes() + body))
-                if crowded:
-                    first, later = settle(np.concatenate(crowded))
-                    gone = joined(span_rows(later, length))
-                    out += [*packed(RUNS, first, spread(first["h"], parts)), *packed(SPANS, gone, spread(gone["doc"], parts))]
-                if out:
-                    yield packed_batch(out)
-
-        def suffixes(batches):
-            asks, texts, crowded, through = [], [], [], []
-            for b in batches:
-                for kind, part, data in zip(*(b[c].to_pylist() for c in ("kind", "part", "data")), strict=True):
-                    if kind == ASKS:
-                        n = int.from_bytes(data[:4], "little")
-                        asks.append(np.frombuffer(data, ASK, n, 4))
-                        texts.append(data[4 + n * ASK.itemsize :])
-                    elif kind == RUNS:
-                        crowded.append(data)
-                    else:
-                        through.append((kind, part, data))
-            if through:
-                yield packed_batch(through)
-            if crowded:
-                gone = joined(span_rows(settle(unpacked(crowded, RUN))[1], length))
-                yield packed_batch(list(packed(SPANS, gone, spread(gone["doc"], parts))))
-            if not asks:
-                return
-            asks, data = np.concatenate(asks), np.frombuffer(b"".join(texts), np.uint8)
+    def fetch(batches):
+        """Bytes of plain runs go to their anchor's part; crowded ones become runs of one string."""
+        for b in batches:
+            blobs = b["asks"].to_pylist()
+            asks = np.concatenate([np.frombuffer(x, ASK) for x in blobs]) if blobs else np.zeros(0, ASK)
+            at, data = T.buffers(b["text"])
+            starts = np.repeat(at[:-1], [len(x) // ASK.itemsize for x in blobs]) + asks["s"]
+            sizes = asks["n"].astype(np.int64) + length - 1
+            out, plain = [], np.flatnonzero(asks["crowded"] == 0)
+            part = spread(asks["h"][plain], parts)
+            order = np.argsort(part, kind="stable")
+            plain, part = plain[order], part[order]
+            cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(plain) else []
+            for s, e in zip(cuts, [*cuts[1:], len(plain)], strict=True) if len(plain) else ():
+                mine = plain[s:e]
+                out.append((ASKS, int(part[s]), len(mine).to_bytes(4, "little") + asks[mine].tobytes() + gather(data, starts[mine], sizes[mine]).tobytes()))
+            crowded = np.flatnonzero(asks["crowded"])
+            for i in range(0, len(crowded), ORDERED):
+                mine = crowded[i : i + ORDERED]
+                body, n = gather(data, starts[mine], sizes[mine]), asks["n"][mine].astype(np.int64)
+                run = np.repeat(np.arange(len(mine)), n)
+                shift = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+                s = (np.cumsum(sizes[mine]) - sizes[mine])[run] + shift
+                prefix = T.prefix_hash(body)
+                runs = np.empty(len(run), RUN)
+                runs["h"] = T.span_hash(prefix, s, s + length)
+                runs["r"] = T.mix(T.span_hash(prefix, s, s + length // 2) + asks["h"][mine][run])
+                runs["doc"], runs["s"], runs["n"] = asks["doc"][mine][run], asks["s"][mine][run] + shift, 1
+                first, later = settle(runs, body, s, length)
+                gone = joined(span_rows(later, length))
+                out += [*packed(RUNS, first, spread(first["h"], parts)), *packed(SPANS, gone, spread(gone["doc"], parts))]
+            if out:
+                yield packed_batch(out)
+
+    def suffixes(batches):
+        """Runs and strings that occur earlier, as spans."""
+        held, size, kept = [], 0, 0
+
+        def reduced(held):
+            """(the runs that stay, the spans of the others)."""
+            asks, texts = np.concatenate([a for a, _ in held]), np.concatenate([t for _, t in held])
             sizes = asks["n"].astype(np.int64) + length - 1
             starts = np.cumsum(sizes) - sizes
             order = np.argsort(asks["h"], kind="stable")
-            asks, starts = asks[order], starts[order]
-            # Anchors in groups of about STRINGS strings; an anchor's runs stay together.
-            total = np.cumsum(asks["n"].astype(np.int64))
-            edge = np.flatnonzero(np.concatenate(([True], asks["h"][1:] != asks["h"][:-1])))
-            group = total[edge] // STRINGS
-            cuts = edge[np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))]
-            for s, e in zip(cuts, [*cuts[1:], len(asks)], strict=True):
-                gone = repeated_strings(asks[s:e], starts[s:e], data, length)
-                if len(gone):
-                    yield packed_batch(list(packed(SPANS, gone, spread(gone["doc"], parts))))
-
-        more = written(with_text.mapInArrow(fetch, PACKED).repartition(parts, "part").mapInArrow(suffixes, PACKED), "suffix-spans")
-        spans = spans.unionByName(more)
+            asks, starts, sizes = asks[order], starts[order], sizes[order]
+            gone = np.zeros(len(asks), bool)
+            for some in anchor_groups(asks, np.ones(len(asks), np.int64), ORDERED):
+                gone[some] = repeated_runs(asks[some], starts[some], texts, length)
+            return (asks[~gone], gather(texts, starts[~gone], sizes[~gone])), joined(span_rows(asks[gone], length))
+
+        for b in batches:
+            through = []
+            for kind, part, data in zip(*(b[c].to_pylist() for c in ("kind", "part", "data")), strict=True):
+                if kind == ASKS:
+                    n = int.from_bytes(data[:4], "little")
+                    held.append((np.frombuffer(data, ASK, n, 4), np.frombuffer(data, np.uint8, offset=4 + n * ASK.itemsize)))
+                    size += len(data)
+                else:
+                    through.append((kind, part, data))
+            if through:
+                yield packed_batch(through)
+            if size > max(REDUCE, 2 * kept):
+                first, gone = reduced(held)
+                held, size, kept = [first], len(first[1]), len(first[1])
+                yield packed_batch(list(packed(SPANS, gone, spread(gone["doc"], parts))))
+        if not held:
+            return
+        (asks, texts), gone = reduced(held)
+        yield packed_batch(list(packed(SPANS, gone, spread(gone["doc"], parts))))
+        if not len(asks):
+            return
+        sizes = asks["n"].astype(np.int64) + length - 1
+        starts = np.cumsum(sizes) - sizes
+        several = np.zeros(len(asks), bool)  # anchors are in order
+        several[1:] = asks["h"][1:] == asks["h"][:-1]
+        several[:-1] |= several[1:].copy()
+        asks, starts = asks[several], starts[several]
+        for some in anchor_groups(asks, asks["n"].astype(np.int64), STRINGS) if len(asks) else ():
+            gone = repeated_strings(asks[some], starts[some], texts, length)
+            if len(gone):
+                yield packed_batch(list(packed(SPANS, gone, spread(gone["doc"], parts))))
+
+    def with_bytes(met: DataFrame) -> DataFrame:
+        """What :func:`fetch` makes of the runs that ask, written."""
+        asked = met.where(F.col("kind") == ASKS).repartition(parts, "part").mapInArrow(by_doc(ASK, ("ask_doc", "asks"), lambda x: x), "ask_doc long, asks binary")
+        # Most documents share an anchor with others, so this is a shuffle of their texts but for small tables.
+        return docs.join(asked, docs["doc"] == F.col("ask_doc")).select("text", "asks").mapInArrow(fetch, PACKED)
+
+    met = written(docs.select("doc", "text").mapInArrow(cut, PACKED).repartition(parts, "part").mapInArrow(meet, PACKED), "suffix-runs")
+    spans = met.where(F.col("kind") == SPANS)
+    if met.where(F.col("kind") == ASKS).limit(1).count():
+        # The strings of crowded anchors pass through and meet by their own hashes; few ask once more.
+        first = written(with_bytes(met).repartition(parts, "part").mapInArrow(suffixes, PACKED), "suffix-spans")
+        spans = spans.unionByName(first.where(F.col("kind") == SPANS))
+        if first.where(F.col("kind") == RUNS).limit(1).count():
+            met = written(first.where(F.col("kind") == RUNS).repartition(parts, "part").mapInArrow(meet_strings, PACKED), "suffix-crowded")
+            spans = spans.unionByName(met.where(F.col("kind") == SPANS))
+            if met.where(F.col("kind") == ASKS).limit(1).count():
+                spans = spans.unionByName(written(with_bytes(met).repartition(parts, "part").mapInArrow(suffixes, PACKED), "suffix-strings"))
     return spans.repartition(parts, "part").mapInArrow(by_doc(SPAN, ("doc", "spans"), joined), "doc long, spans binary")
 
 
@@ -392,7 +483,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     * A null text is empty. Null ids come last. Rows of one id but different texts are ordered by a
       hash of the text; rows that repeat both are one document and get equal results.
     * Texts shorter than ``length`` lose nothing. An empty table gives no rows.
-    * Equal runs are told by 128 bits of hashes, edges by their bytes. Texts may have up to 2 GiB.
+    * What goes is decided on bytes; hashes only say what is compared. ``length`` is 2 to 32,768. Texts may have up to 2 GiB.
     * Other columns are not read.
     """
     small_batches(docs.sparkSession)

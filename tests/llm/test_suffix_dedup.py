@@ -48,10 +48,35 @@ def test_against_brute_force(spark, seed, crowd, parts):
     docs = list(enumerate(texts(seed)))
     random.Random(seed).shuffle(docs)
     df = with_clashes(documents(spark, [(i, t, "en", "s", 1, "x") for i, t in docs])).repartition(5)
-    for length in (100, 40):
+    for length in (40, 100, 300, 400) if crowd == 2 else (100, 40):
         assert got(D.remove_repeats(df, length=length, crowd=crowd, parts=parts)) == brute(sorted(docs), length)
 
 
+@pytest.mark.parametrize("weak", ["h", "r", "hr"])
+def test_bytes_decide_where_hashes_clash(spark, monkeypatch, weak):
+    """With hashes of few values, runs that differ meet and must stay."""
+    docs = list(enumerate(texts(6, 60)))
+    whole = D.runs_of
+
+    def clashing(at, data, length):
+        h, r, s, n = whole(at, data, length)
+        return (h % np.uint64(3) if "h" in weak else h), (r % np.uint64(2) if "r" in weak else r), s, n
+
+    monkeypatch.setattr(D, "runs_of", clashing)
+    monkeypatch.setattr(D, "ORDERED", 100)
+    monkeypatch.setattr(D, "REDUCE", 2000)
+    runs = D.runs_of(np.array([0, 600]), np.frombuffer(("ab" * 150 + "cd" * 150).encode(), np.uint8), 100)
+    assert len(np.unique(runs[0])) <= 3 or weak == "r"
+    df = documents(spark, [(i, t, "en", "s", 1, "x") for i, t in docs]).repartition(4)
+    assert got(D.remove_repeats(df, length=60, parts=3)) == brute(docs, 60)
+
+
+def test_lengths_that_do_not_fit_are_refused(spark):
+    for length in (1, 1 << 16):
+        with pytest.raises(ValueError, match="length"):
+            D.remove_repeats(documents(spark), length=length)
+
+
 def test_real_texts(spark, sf_small):
     df = spark.read.parquet(f"{sf_small}/documents.parquet")
     docs = sorted((r.doc_id, r.text) for r in df.collect())
