@@ -2,10 +2,13 @@
 
 Every vector is described by its ``length`` nearest of a set of pivots, in order. It is posted in the
 inverted files of its first ``postings`` pivots. A query opens the files of its first ``probes``
-pivots (more of them the more pivots there are); in each, vectors are ranked by the footrule distance of the two permutations and the nearest
-``rerank`` share is reranked by the exact cosine. Files are split into shards of about ``shard``
-vectors and the queries into blocks, by hash, so a pivot near which most vectors lie (or one vector
-repeated in a third of the rows) gives many equal tasks.
+pivots (more of them the more pivots there are); in each, vectors are ranked by the footrule distance of the two
+permutations and the nearest ``rerank`` share (``least`` at the least) is reranked by the exact cosine. Files are split
+into shards of about ``shard`` vectors and the queries into blocks of four times that, by hash, so a pivot near which
+most vectors lie (or one vector repeated in a third of the rows) gives many equal tasks.
+
+Vectors travel with their postings: a file's share that is reranked is large where vectors form no clusters, and
+fetching the vectors of all candidates afterwards would move each one once for every query.
 """
 
 from __future__ import annotations
@@ -20,11 +23,11 @@ from tessel.llm.common import written
 
 
 def valid_vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, vec array<double>): rows with an id and a finite vector other than zero, of the commonest length."""
+    """(vec_id, vec array<double>): rows with an id and a finite vector other than zero; of a repeated id the least vector."""
     vec = F.col(vec_col).cast("array<double>")
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec")).where("vec_id is not null and vec is not null and size(vec) > 0")
-    return rows.where(F.forall("vec", fine) & F.exists("vec", lambda x: x != 0)).dropDuplicates(["vec_id"])
+    return rows.where(F.forall("vec", fine) & F.exists("vec", lambda x: x != 0)).groupBy("vec_id").agg(F.min("vec").alias("vec"))
 
 
 def choose_pivots(vectors: DataFrame, count: int) -> np.ndarray:
@@ -43,6 +46,23 @@ def files_opened(n_pivots: int) -> int:
     return min(n_pivots, int(np.ceil(40 * np.sqrt(max(n_pivots, 256) / 256))))
 
 
+#: Bounds of the number of pivots; permutations hold them in 16 bits.
+FEWEST, MOST = 256, 16_384
+
+
+def footrule(perms: np.ndarray, query: np.ndarray, n_pivots: int) -> np.ndarray:
+    """Footrule distances of permutations (rows of pivots, nearest first) to the query's, but for a constant.
+
+    A pivot that one of the two doesn't name stands behind its last. Of the pivots of both, the sum of the differences
+    of their places; what the query's other pivots add is a constant less the places of the common ones.
+    """
+    length = perms.shape[1]
+    place = np.full(n_pivots, length, np.int16)
+    place[query] = np.arange(length, dtype=np.int16)
+    at = place[perms]
+    return (np.abs(at - np.arange(length, dtype=np.int16)) + at).sum(axis=1, dtype=np.int32)
+
+
 def norms(x: np.ndarray) -> np.ndarray:
     return np.sqrt((x * x).sum(axis=1))
 
@@ -58,16 +78,18 @@ def nearest(
     postings: int = 8,
     probes: int | None = None,
     rerank: float = 0.25,
+    least: int = 32,
     shard: int = 4096,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` rows found nearest to each query by cosine.
 
-    ``pivots`` defaults to the square root of the number of vectors, between 256 and 4096, ``probes`` to
-    :func:`files_opened` (40 to 160). All vectors are indexed; the pivots are a sample of that size.
+    ``pivots`` defaults to the square root of the number of vectors, between 256 and 16,384, ``probes`` to
+    :func:`files_opened` (40 to 320). All vectors are indexed; the pivots are a sample of that size.
 
     * Vectors that are null, empty or zero, or that hold a null or a non-finite number, take no part;
       neither do rows with a null id, nor vectors of another length than the commonest.
-    * Of rows that repeat an id one is used. A query never finds its own id.
+    * Of rows that repeat an id the one with the least vector (number by number, then the shorter) is used. A query
+      never finds its own id.
     * Ties go to the smaller id. With fewer than ``k`` other vectors all are returned.
     * An empty table gives no rows; other columns are not read.
     """
@@ -79,7 +101,7 @@ def nearest(
         return spark.createDataFrame([], schema)
     vectors = vectors.where(F.size("vec") == sizes["d"])
     total = sizes["count"]
-    unit = choose_pivots(vectors, pivots or int(np.clip(np.sqrt(total), 256, 4096)))
+    unit = choose_pivots(vectors, pivots or int(np.clip(np.sqrt(total), FEWEST, MOST)))
     n_pivots = len(unit)
     length, post, probe = min(length, n_pivots), min(postings, n_pivots), min(probes or files_opened(n_pivots), n_pivots)
 
@@ -103,11 +125,11 @@ def nearest(
             asked = np.bincount(opens, minlength=n_pivots)
             yield pd.DataFrame({"pivot": np.arange(n_pivots), "posted": posted, "asked": asked})
 
-    # One row per pivot: at most 4096 rows, whatever the input.
+    # One row per pivot: at most MOST rows, whatever the input.
     counts = permuted.select("perm", "opens").mapInPandas(openings, "pivot int, posted long, asked long").groupBy("pivot").agg(F.sum("posted").alias("posted"), F.sum("asked").alias("asked")).collect()
     shards, blocks = np.ones(n_pivots, np.int64), np.ones(n_pivots, np.int64)
     for r in counts:
-        shards[r["pivot"]], blocks[r["pivot"]] = max(1, -(-r["posted"] // shard)), max(1, -(-r["asked"] // shard))
+        shards[r["pivot"]], blocks[r["pivot"]] = max(1, -(-r["posted"] // shard)), max(1, -(-r["asked"] // (4 * shard)))
 
     def dealt(side: int):
         """Copies of a row for the files (pivot, shard, block) that it belongs to."""
@@ -144,16 +166,12 @@ def nearest(
             ids, x = index["vec_id"].to_numpy(), np.array(index["vec"].tolist())
             size = norms(x)
             perm = np.frombuffer(b"".join(index["perm"]), "<i2").reshape(-1, length)
-            place = np.full((n_pivots, len(ids)), length, np.int16)
-            place[perm.T, np.arange(len(ids))[None, :]] = np.arange(length, dtype=np.int16)[:, None]
-            keep = max(int(np.ceil(rerank * len(ids))), 256)
-            here = np.arange(length, dtype=np.int16)[:, None]
+            keep = max(int(np.ceil(rerank * len(ids))), least)
             for qid, q, p in zip(queries["vec_id"], queries["vec"], queries["perm"], strict=True):
                 other = np.flatnonzero(ids != qid)
                 if len(other) > keep:
-                    at = place[np.frombuffer(p, "<i2")]
-                    footrule = (np.abs(at - here) + at).sum(axis=0, dtype=np.int32)  # but for a constant
-                    other = other[np.argsort(footrule[other], kind="stable")[:keep]]
+                    far = footrule(perm, np.frombuffer(p, "<i2"), n_pivots)
+                    other = other[np.argsort(far[other], kind="stable")[:keep]]
                 q = np.asarray(q)
                 score = (x[other] * q).sum(axis=1) / (size[other] * norms(q[None, :])[0])
                 best = np.lexsort((ids[other], -score))[:k]
