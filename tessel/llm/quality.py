@@ -5,7 +5,7 @@ ratios of the heads (first bytes) of its words, fitted on a bounded sample of la
 evidence of all documents is summed by host and by path; a host's rate is shrunk to the global one and a
 path's to its host's, the more the fewer documents there are, with strengths estimated from the spread
 of the rates (moments). The posterior of a document is its own evidence with its path's rate as the
-prior in place of the global one.
+prior in place of the global one. Quality and toxicity each have rates, priors and posteriors of their own.
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ from tessel.llm.common import small, small_batches, written
 SAMPLE = 12_000
 #: Bytes of a word's head; a stem shows in all words that begin with it.
 HEAD = 6
-#: A head counts if this many labelled documents have it and its rates differ by this many deviations.
+#: A head of the labelled sample counts if this many of its documents have it and its rates differ by this many
+#: deviations; the model has at most so many, those that differ most.
 LEAST_DOCS, LEAST_Z, MOST_HEADS = 8, 6.0, 4096
-#: Bounds of what a site can add to a document's log odds.
+#: Bound of what a site's rate can add to a document's log odds.
 SHIFT = 2.0
+TARGETS = ("quality", "toxic")
 
 _UPPER, _DIGIT, _SYMBOL, _LINE, _WIDE = (np.zeros(256, bool) for _ in range(5))
 _UPPER[0x41:0x5B] = _DIGIT[0x30:0x3A] = _WIDE[0x80:] = _LINE[0x0A] = True
@@ -123,8 +125,8 @@ class Model:
         return np.clip(out, -12, 12)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model for (quality, toxic) from at most ``sample`` labelled documents of ``docs``.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, heads: int = MOST_HEADS) -> Model:
+    """A model for (quality, toxic) from at most ``sample`` labelled documents of ``docs``, with at most ``heads`` heads.
 
     Of ``labels`` (doc_id, quality, toxic) rows with a null are passed over, of repeated ids one counts.
     Heads are chosen on half of the documents, the logistic models fitted on the others.
@@ -159,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         pooled = (one + none + 1) / (n_one + n_none + 1)
         spread = F.sqrt(pooled * (1 - pooled) * (1 / n_one + 1 / n_none)) if n_one > 1 and n_none > 1 else F.lit(float("inf"))
         rated = rated.withColumn(f"z_{c}", (one / n_one - none / n_none) / spread)
-    rows = rated.where(F.greatest(F.abs("z_quality"), F.abs("z_toxic")) >= LEAST_Z).orderBy(F.greatest(F.abs("z_quality"), F.abs("z_toxic")).desc(), "head").limit(MOST_HEADS).collect()
+    rows = rated.where(F.greatest(F.abs("z_quality"), F.abs("z_toxic")) >= LEAST_Z).orderBy(F.greatest(F.abs("z_quality"), F.abs("z_toxic")).desc(), "head").limit(heads).collect()
     heads = np.array([r["head"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(heads)
     rate = lambda c, v: np.array([(r[f"{c}{v}_n"] + 0.5) / total[c, v] for r in rows])[order] if rows else np.zeros(0)
@@ -192,12 +194,13 @@ def _strength(rates: DataFrame, mean: str) -> float:
     return float(np.clip(r["within"] / max(r["between"], 1e-9) - 1, 1.0, 1e6))
 
 
-def classify(docs: DataFrame, model: Model, site: Column | None = None, threshold: float = 0.5) -> DataFrame:
-    """doc_id, digest, quality, toxic, host_quality, path_quality, kept for each row of ``docs``.
+def classify(docs: DataFrame, model: Model, site: Column | None = None, threshold: float = 0.5, shift: float = SHIFT) -> DataFrame:
+    """doc_id, digest, quality, toxic, host_ and path_quality, host_ and path_toxic, kept for each row of ``docs``.
 
     ``quality`` and ``toxic`` are posterior probabilities; a document is kept if the first is at least
-    ``threshold`` and the second below it. ``site`` names host and path, "host/path", by default the
-    source and the language.
+    ``threshold`` and the second below it (at a tie with it, quality is enough and toxicity too much). ``site`` names host and path, "host/path", by default the
+    source and the language. A site's rate adds at most ``shift`` to a document's log odds, up or down, so that no site
+    is kept or rejected whole against clear evidence.
 
     * A null text is empty; a null source or language is a site like any other.
     * Without labels of both classes for a target there is nothing to reject by: quality 1, toxic 0.
@@ -217,26 +220,26 @@ def classify(docs: DataFrame, model: Model, site: Column | None = None, threshol
 
     rows = written(base.mapInArrow(scored, "doc_id long, path string, digest long, q double, t double"), "quality-scores")
     rows = rows.withColumn("host", F.substring_index("path", "/", 1))
-    p = 1 / (1 + F.exp(-F.col("q")))
+    one = lambda c: F.sum(1 / (1 + F.exp(-F.col(c))))
     # Sums by path first (partial, so a host with a third of all rows sends a row per task), then by host.
-    paths = written(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("good")), "quality-paths")
-    hosts = written(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("p", F.col("good") / F.col("n")), "quality-hosts")
-    everything = hosts.agg(F.sum("good"), F.sum("n")).first()
-    mean = float((everything[0] or 0.0) + 0.5) / float((everything[1] or 0) + 1.0)
-    hosts = hosts.withColumn("mean", F.lit(mean))
-    k = _strength(hosts, "mean")
-    hosts = hosts.select(F.col("host").alias("h"), ((F.col("good") + k * mean) / (F.col("n") + k)).alias("host_quality"))
+    sums = [one(c).alias(t) for c, t in zip(("q", "t"), TARGETS, strict=True)]
+    paths = written(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), *sums), "quality-paths")
+    hosts = written(paths.groupBy("host").agg(F.sum("n").alias("n"), *[F.sum(t).alias(t) for t in TARGETS]), "quality-hosts")
+    everything = hosts.agg(F.sum("n").alias("n"), *[F.sum(t).alias(t) for t in TARGETS]).first()
+    means = {t: float((everything[t] or 0.0) + 0.5) / float((everything["n"] or 0) + 1.0) for t in TARGETS}
+    shrunk = lambda t, k, mean: (F.col(t) + k * mean) / (F.col("n") + k)
+    strength = {t: _strength(hosts.select("n", (F.col(t) / F.col("n")).alias("p"), F.lit(means[t]).alias("mean")), "mean") for t in TARGETS}
+    hosts = hosts.select(F.col("host").alias("h"), *[shrunk(t, strength[t], means[t]).alias(f"host_{t}") for t in TARGETS])
     n_hosts, n_paths = hosts.count(), paths.count()
-    paths = paths.join(small(hosts, n_hosts, 64), F.col("host") == F.col("h")).withColumn("p", F.col("good") / F.col("n"))
-    paths = written(paths, "quality-rates")
-    k = _strength(paths, "host_quality")
-    rates = paths.select(F.col("path").alias("r"), "host_quality", ((F.col("good") + k * F.col("host_quality")) / (F.col("n") + k)).alias("path_quality"))
-    joined = rows.join(small(rates, n_paths, 96), F.col("path") == F.col("r"))
+    paths = written(paths.join(small(hosts, n_hosts, 64), F.col("host") == F.col("h")), "quality-rates")
+    strength = {t: _strength(paths.select("n", (F.col(t) / F.col("n")).alias("p"), f"host_{t}"), f"host_{t}") for t in TARGETS}
+    rates = paths.select(F.col("path").alias("r"), *[f"host_{t}" for t in TARGETS], *[shrunk(t, strength[t], F.col(f"host_{t}")).alias(f"path_{t}") for t in TARGETS])
+    joined = rows.join(small(rates, n_paths, 128), F.col("path") == F.col("r"))
     edge = lambda x: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), x))
     odds = lambda x: F.log(edge(x) / (1 - edge(x)))
-    shift = F.greatest(F.lit(-SHIFT), F.least(F.lit(SHIFT), odds(F.col("path_quality")) - odds(F.lit(mean))))
-    quality, toxic = 1 / (1 + F.exp(-(F.col("q") + shift))), 1 / (1 + F.exp(-F.col("t")))
-    return joined.select("doc_id", "digest", quality.alias("quality"), toxic.alias("toxic"), "host_quality", "path_quality", ((quality >= threshold) & (toxic < threshold)).alias("kept"))
+    moved = lambda t: F.greatest(F.lit(-shift), F.least(F.lit(shift), odds(F.col(f"path_{t}")) - odds(F.lit(means[t]))))
+    quality, toxic = (1 / (1 + F.exp(-(F.col(c) + moved(t)))) for c, t in zip(("q", "t"), TARGETS, strict=True))
+    return joined.select("doc_id", "digest", quality.alias("quality"), toxic.alias("toxic"), *[f"{level}_{t}" for t in TARGETS for level in ("host", "path")], ((quality >= threshold) & (toxic < threshold)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = quality.classify(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
-    return found.select("doc_id", "quality", "toxic", "host_quality", "path_quality", "kept")
+    return found.select("doc_id", "quality", "toxic", "host_quality", "path_quality", "host_toxic", "path_toxic", "kept")
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

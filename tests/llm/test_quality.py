@@ -1,3 +1,7 @@
+import math
+import random
+
+import numpy as np
 import pytest
 
 from tessel.llm import quality as Q
@@ -58,3 +62,54 @@ def test_awkward_rows_with_labels(spark, big):
     assert len(rows) == len(AWKWARD) and all(0 <= r.quality <= 1 and 0 <= r.toxic <= 1 for r in rows)
     twice = [r for r in rows if r.doc_id == 2]
     assert twice[0] == twice[1]
+
+
+class ByWords:
+    """A model whose evidence is the number of words of a text: log odds are exact."""
+
+    def predict(self, shape, of, heads, unknown):
+        n = np.rint(np.expm1(shape[:, 0]))
+        return np.stack([n - 10, 4 - n], axis=1)
+
+
+def plain_posteriors(rows, shift):
+    """The hierarchy by plain loops: (id -> quality, toxic) of rows (id, site, words)."""
+    out = {}
+    for t, odds in (("quality", lambda n: n - 10), ("toxic", lambda n: 4 - n)):
+        p = {i: 1 / (1 + math.exp(-odds(n))) for i, _, n in rows}
+        mean = (sum(p.values()) + 0.5) / (len(p) + 1)
+
+        def rate(groups, prior, p=p):
+            """Shrunk rates of (group -> ids), with the strength from the spread of the rates."""
+            raw = {g: sum(p[i] for i in ids) / len(ids) for g, ids in groups.items()}
+            within = sum(prior[g] * (1 - prior[g]) for g in groups) / len(groups)
+            between = sum((raw[g] - prior[g]) ** 2 - prior[g] * (1 - prior[g]) / len(groups[g]) for g in groups) / len(groups)
+            k = min(max(within / max(between, 1e-9) - 1, 1.0), 1e6)
+            return {g: (sum(p[i] for i in ids) + k * prior[g]) / (len(ids) + k) for g, ids in groups.items()}
+
+        paths, hosts = {}, {}
+        for i, site, _ in rows:
+            paths.setdefault(site, []).append(i)
+            hosts.setdefault(site.split("/")[0], []).append(i)
+        host = rate(hosts, dict.fromkeys(hosts, mean))
+        path = rate(paths, {s: host[s.split("/")[0]] for s in paths})
+        log_odds = lambda x: math.log(x / (1 - x))
+        for i, site, n in rows:
+            moved = max(-shift, min(shift, log_odds(path[site]) - log_odds(mean)))
+            out.setdefault(i, []).append(1 / (1 + math.exp(-(odds(n) + moved))))
+    return out
+
+
+@pytest.mark.parametrize("shift", [0.0, 0.4, 2.0])
+def test_posteriors_against_plain_loops(spark, shift):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a/x", "a/y", "b/x", "c/z", "c/x"]), rng.choice([2, 4, 9, 10, 11, 14])) for i in range(300)] + [(300, "d/x", 3), (301, "d/x", 10)]
+    docs = documents(spark, [(i, " ".join(["w"] * n), site.split("/")[1], site.split("/")[0], 1, "x") for i, site, n in rows])
+    want = plain_posteriors(rows, shift)
+    for r in Q.classify(docs, ByWords(), shift=shift).collect():
+        assert (r.quality, r.toxic) == pytest.approx(want[r.doc_id], abs=1e-9)
+        if shift == 0:  # ten words are a tie in quality, four one in toxicity
+            n = rows[r.doc_id][2]
+            assert r.kept == (n >= 10)
+    tied = documents(spark, [(1, "w " * 10, "x", "a", 1, "x"), (2, "w " * 4, "x", "a", 1, "x")])
+    assert {r.doc_id: (r.quality, r.toxic >= 0.5, r.kept) for r in Q.classify(tied, ByWords(), shift=0.0).collect()}[1] == (0.5, False, True)
