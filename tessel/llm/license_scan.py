@@ -27,7 +27,7 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Passages of published license notices, by label.
+#: Passages of published licenses and their notices, by label (before a ``#``: the rest names the passage).
 TEMPLATES = {
     "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
         associated documentation files (the "Software"), to deal in the Software without restriction, including
@@ -48,8 +48,77 @@ TEMPLATES = {
     "cc-by": """This work is licensed under a Creative Commons Attribution 4.0 International License""",
     "cc-by-nc": """This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License""",
     "unlicense": """This is free and unencumbered software released into the public domain""",
+    "mit#notice": """The above copyright notice and this permission notice shall be included in all copies or substantial
+        portions of the Software""",
+    "mit#warranty": """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+        LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT""",
+    "apache-2#copyright": """Subject to the terms and conditions of this License, each Contributor hereby grants to You a
+        perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare
+        Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative
+        Works in Source or Object form""",
+    "apache-2#warranty": """Unless required by applicable law or agreed to in writing, software distributed under the License
+        is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the
+        License for the specific language governing permissions and limitations under the License""",
+    "apache-2#terms": """"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by
+        Sections 1 through 9 of this document""",
+    "bsd#source": """Redistributions of source code must retain the above copyright notice, this list of conditions and the
+        following disclaimer""",
+    "bsd#binary": """Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+        following disclaimer in the documentation and/or other materials provided with the distribution""",
+    "bsd-3": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+        products derived from this software without specific prior written permission""",
+    "bsd#warranty": """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+        PURPOSE ARE DISCLAIMED""",
+    "gpl#or-later": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General
+        Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any
+        later version""",
+    "gpl#warranty": """This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
+        details""",
+    "gpl-2#preamble": """The licenses for most software are designed to take away your freedom to share and change it. By contrast,
+        the GNU General Public License is intended to guarantee your freedom to share and change free software to make sure the
+        software is free for all its users""",
+    "gpl-3#preamble": """The GNU General Public License is a free, copyleft license for software and other kinds of works""",
+    "gpl-3#freedom": """The licenses for most software and other practical works are designed to take away your freedom to share and
+        change the works. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change
+        all versions of a program""",
+    "agpl-3": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+        later version""",
+    "agpl-3#preamble": """The GNU Affero General Public License is a free, copyleft license for software and other kinds of works,
+        specifically designed to ensure cooperation with the community in the case of network server software""",
+    "lgpl#terms": """This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the
+        GNU General Public License, supplemented by the additional permissions listed below""",
+    "mpl-2#terms": """"Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns
+        Covered Software""",
+    "epl-2": """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0
+        which is available at""",
+    "epl#terms": """THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE ("AGREEMENT"). ANY USE,
+        REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT""",
+    "isc#warranty": """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+        INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software""",
+    "zlib#origin": """The origin of this software must not be misrepresented; you must not claim that you wrote the original
+        software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but
+        is not required""",
+    "bsl-1": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+        accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and
+        transmit the Software""",
+    "unlicense#terms": """Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source
+        code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means""",
+    "cc-by-sa": """This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License""",
+    "cc-by-nd": """This work is licensed under a Creative Commons Attribution NoDerivatives 4.0 International License""",
+    "cc-by-nc-sa": """This work is licensed under a Creative Commons Attribution NonCommercial ShareAlike 4.0 International License""",
+    "cc-by-nc-nd": """This work is licensed under a Creative Commons Attribution NonCommercial NoDerivatives 4.0 International License""",
+    "cc0": """To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or
+        neighboring rights to this work""",
 }
 
+#: English words that join others; a gram of such words alone says little.
+JOINING = "a an and any are as at be but by for from if in is it its may no not of on or so such that the their this to under with without you your".split()
+
 #: Longest k-grams; shorter ones are taken where a span of the asked coverage needn't keep any (:func:`kept_grams`).
 GRAM = 4
 
@@ -68,6 +137,17 @@ def kept_grams(n: int, k: int, drift: int, coverage: float) -> int:
     return n - lost - (2 * lost + drift + 1) * (k - 1)
 
 
+def indexed(words: list[bytes], k: int, spare: int) -> list[int]:
+    """The places of a template's k-grams that vote: all but up to ``spare`` of those that only have joining words.
+
+    Such grams are in most texts, so they are most of the hits; a span that is to be found keeps ``spare`` more grams
+    than it needs, whichever they are.
+    """
+    plain = [i for i in range(len(words) - k + 1) if all(w.decode() in JOINING for w in words[i : i + k])]
+    left_out = set(plain[: max(0, spare)])
+    return [i for i in range(len(words) - k + 1) if i not in left_out]
+
+
 def common(masks: list[int], n: int, need: int) -> tuple[int, int | None]:
     """(longest common subsequence with a template of ``n`` words, place at which it first has ``need`` words or None).
 
@@ -140,15 +220,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score; one row per row of ``docs``.
 
     ``n_base``, ``first_word`` and ``last_word`` are of the base phrases; ``labels`` adds the templates
-    of which a span holds at least ``coverage`` of the words in order, the best where spans overlap. ``score`` is the best coverage of
-    a template, 1 where a base phrase stands, 0 without labels.
+    of which a span holds at least ``coverage`` of the words in order. Where spans of templates overlap the one with the
+    larger coverage (in tenths) counts, then the one with more words, the earlier one, the first label. ``score`` is the
+    best coverage of a template, 1 where a base phrase stands, 0 without labels.
 
     No span that is at most ``drift`` words longer than its template is missed, wherever words are replaced, dropped or
     put in; longer ones, up to three times the template, count if they keep as many k-grams.
 
     * A null text is empty: no words, no labels, score 0.
     * Rows that repeat an id and a text get equal results; null ids are told apart by their texts.
-    * Only hits are shuffled, by document; the templates are a fixed table of some hundred rows.
+    * Only hits are shuffled, by document; the templates are a table of a row per word, :data:`TEMPLATES` by default.
     * Other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -156,13 +237,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.withColumn("digest", F.xxhash64("text"))
 
-    labels = list(templates)
-    bodies = [words_of(templates[x]) for x in labels]
+    labels = [x.partition("#")[0] for x in templates]
+    bodies = [words_of(x) for x in templates.values()]
     while k > 1 and any(kept_grams(len(words), k, drift, coverage) < 1 for words in bodies):
         k -= 1
-    places = [(int(h), t, p) for t, words in enumerate(bodies) for p, h in enumerate(T.gram_hash(_hashes(words), k).view(np.int64))]
+    kept = [kept_grams(len(words), k, drift, coverage) for words in bodies]
+    needed = [max(1, min(n, max(2, int(0.3 * len(words))))) for n, words in zip(kept, bodies, strict=True)]
+    places = []
+    for t, words in enumerate(bodies):
+        grams = T.gram_hash(_hashes(words), k).view(np.int64)
+        places += [(int(grams[p]), t, p) for p in indexed(words, k, kept[t] - needed[t])]
     table = spark.createDataFrame(places, "gram long, template int, at int")
-    needed = [max(1, min(kept_grams(len(words), k, drift, coverage), max(2, int(0.3 * len(words))))) for words in bodies]
     # The hits of a span lie on diagonals that its missing and its other words can part.
     apart = [2 * missing(len(words), coverage) + drift for words in bodies]
     least = [len(words) - missing(len(words), coverage) for words in bodies]
