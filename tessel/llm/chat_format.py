@@ -129,6 +129,7 @@ def format_chat(
 def read_back(windows: DataFrame) -> DataFrame:
     """What the windows of :func:`format_chat` say, one row per conversation, from their texts and masks alone.
 
+    ``n_windows`` is their number, ``n_context`` that of the turns that they repeat.
     The digests are of one string per conversation; that string is gathered, as a digest needs it.
     """
     pieces = F.split("text", F.lit(r"<\|im_end\|>\n"))
@@ -140,9 +141,9 @@ def read_back(windows: DataFrame) -> DataFrame:
         return F.concat(unescape_role(role), F.lit("\n"), unescape(F.substring(piece, cut + 1, F.length(piece))), F.lit("\n"))
 
     learnt = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("text"), (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int"))))
-    read = windows.select("conv_id", F.size(fresh).cast("long").alias("n"), F.length("text").cast("long").alias("chars"), F.struct("block", "window", F.array_join(F.transform(fresh, turn), "").alias("turns"), F.array_join(learnt, "").alias("loss")).alias("part"))
-    whole = read.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.array_sort(F.collect_list("part")).alias("parts"))
-    whole = whole.select("conv_id", "n_turns", "formatted_chars", F.array_join(F.col("parts.turns"), "").alias("turns"), F.array_join(F.col("parts.loss"), "").alias("loss"))
+    read = windows.select("conv_id", F.size(fresh).cast("long").alias("n"), F.length("text").cast("long").alias("chars"), F.col("n_context").alias("context"), F.struct("block", "window", F.array_join(F.transform(fresh, turn), "").alias("turns"), F.array_join(learnt, "").alias("loss")).alias("part"))
+    whole = read.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.count(F.lit(1)).alias("n_windows"), F.sum("context").alias("n_context"), F.array_sort(F.collect_list("part")).alias("parts"))
+    whole = whole.select("conv_id", "n_turns", "formatted_chars", "n_windows", "n_context", F.array_join(F.col("parts.turns"), "").alias("turns"), F.array_join(F.col("parts.loss"), "").alias("loss"))
     return whole.select(
         "conv_id",
         "n_turns",
@@ -150,4 +151,6 @@ def read_back(windows: DataFrame) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         "formatted_chars",
+        "n_windows",
+        "n_context",
     )

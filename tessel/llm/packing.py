@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import salted_rank, small_batches, written
+from tessel.llm.common import salted_rank, small, small_batches, written
 
 #: Latin-1, lower case: the tokenizer's letters and digits (fixed by the pre-tokenizer's pattern).
 _LETTERS = bytes(c for c in range(256) if chr(c).isalpha())
@@ -148,7 +148,6 @@ def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[list[tuple[
         lengths = sorted(left)
         for j in sorted(left, reverse=True):
             while left.get(j):
-                one = [x for x in (lengths[0], lengths[1] if len(lengths) > 1 else None) if x]
                 n_same = left[j]
                 at = bisect_right(lengths, capacity - j) - 1
                 while at >= 0 and lengths[at] == j and n_same == 1:
@@ -158,7 +157,7 @@ def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[list[tuple[
                     times, used = n_same, {j: n_same}
                 else:
                     j2 = lengths[at]
-                    if j + j2 != capacity and not _single_dominates(left, lengths, j, j2, capacity, one):
+                    if j + j2 != capacity and not _single_dominates(left, lengths, j, j2, capacity):
                         break
                     times = n_same // 2 if j2 == j else min(n_same, left[j2])
                     fixed.append(((j, j2), times))
@@ -172,7 +171,7 @@ def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[list[tuple[
     return fixed, left
 
 
-def _single_dominates(left: dict[int, int], lengths: list[int], j: int, j2: int, capacity: int, _: list) -> bool:
+def _single_dominates(left: dict[int, int], lengths: list[int], j: int, j2: int, capacity: int) -> bool:
     """Whether {j, j2} dominates all sets with j: at most two more fit, and no two of them exceed j2."""
     room = capacity - j
     smallest: list[int] = []
@@ -265,7 +264,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     # One row per length: its runs of ranks in order, so a piece finds its run by binary search-like filtering.
     runs = places.sort_values(["length", "rank_from"])
     table = spark.createDataFrame(runs.astype("int64")).withColumnRenamed("length", "l")
-    found = ranked.join(F.broadcast(table), (F.col("length") == F.col("l")) & (F.col("nth") >= F.col("rank_from")) & (F.col("nth") < F.col("rank_to")))
+    found = ranked.join(small(table, len(runs), 48), (F.col("length") == F.col("l")) & (F.col("nth") >= F.col("rank_from")) & (F.col("nth") < F.col("rank_to")))
     return found.select(*pieces.columns, (F.col("first_sequence") + F.col("nth") - F.col("rank_from")).alias("sequence_id"), F.col("offset"))
 
 

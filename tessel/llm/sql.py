@@ -16,14 +16,14 @@ WITH talks AS (
   SELECT *, sum(tokens) OVER o - tokens AS before, row_number() OVER o AS pos
   FROM sized WINDOW o AS (PARTITION BY conv_id, block ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)
 ), celled AS (
-  SELECT *, before // 1536 AS cell, (before + tokens - 1) // 1536 > before // 1536 AS crosses FROM summed
+  SELECT *, before // 384 AS cell, (before + tokens - 1) // 384 > before // 384 AS crosses FROM summed
 ), opened AS (
   SELECT *, pos = 1 OR crosses OR lag(crosses, 1, false) OVER o OR cell <> lag(cell, 1, -1) OVER o AS opens
   FROM celled WINDOW o AS (PARTITION BY conv_id, block ORDER BY pos)
 ), repeated AS (
   SELECT *, role = 'system' AND pos = 1 AND block = min(block) OVER (PARTITION BY conv_id) AS is_system,
-         coalesce(lead(opens, 1) OVER o AND lead(before, 1) OVER o - before <= 256, false) AS r1,
-         coalesce(lead(opens, 2) OVER o AND lead(before, 2) OVER o - before <= 256, false) AS r2
+         coalesce(lead(opens, 1) OVER o AND lead(before, 1) OVER o - before <= 64, false) AS r1,
+         coalesce(lead(opens, 2) OVER o AND lead(before, 2) OVER o - before <= 64, false) AS r2
   FROM opened WINDOW o AS (PARTITION BY conv_id, block ORDER BY pos)
 ), counted AS (
   SELECT *, count(*) FILTER (WHERE opens) OVER (PARTITION BY conv_id) AS windows FROM repeated
@@ -32,7 +32,9 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY block, pos)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY block, pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-       sum(chars * CASE WHEN is_system THEN windows ELSE 1 + r1::INT + r2::INT END)::BIGINT AS formatted_chars
+       sum(chars * CASE WHEN is_system THEN windows ELSE 1 + r1::INT + r2::INT END)::BIGINT AS formatted_chars,
+       max(windows)::BIGINT AS n_windows,
+       sum(CASE WHEN is_system THEN windows - 1 ELSE r1::INT + r2::INT END)::BIGINT AS n_context
 FROM counted GROUP BY conv_id
 """
 
