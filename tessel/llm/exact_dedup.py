@@ -2,7 +2,9 @@
 
 Only DataFrame functions. Two scans of the documents: the first makes a narrow key table (id, length,
 hash), the second fetches the texts of groups with more than one row and compares them byte for byte.
-A group of copies, however large, collapses to one row per map task before either shuffle.
+A group of copies, however large, collapses to one row per map task before either shuffle. Rows whose
+hash has at least 1/HOT of all rows (so at most HOT hashes) meet their group by a broadcast; no task
+gets such a group whole.
 """
 
 from __future__ import annotations
@@ -12,7 +14,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import small, stripped, without, written
+from tessel.llm.common import BROADCAST_BYTES, small, stripped, without, written
+
+#: A hash of at least 1/HOT of all rows is hot. At most HOT hashes are, whatever the input.
+HOT = 1024
 
 
 def hash128(text: Column) -> Column:
@@ -25,6 +30,21 @@ def _best(ids: Column, chars: Column) -> Column:
     return F.max(F.struct(chars.alias("n"), F.bitwise_not(ids).alias("not_id")))
 
 
+def _hot_hashes(groups: DataFrame, total: int) -> DataFrame | None:
+    """The hot hashes of ``groups`` (a row per hash), or None if there is none."""
+    hot = groups.where(F.col("group_size") * F.lit(HOT) >= F.lit(total)).select("hash")
+    return hot if hot.limit(1).count() else None
+
+
+def _by_hash(rows: DataFrame, groups: DataFrame, hot: DataFrame | None, how: str) -> DataFrame:
+    """``rows`` joined on hash with ``groups`` (a row per hash): by broadcast for hot hashes, else by a shuffle."""
+    if hot is None:
+        return rows.join(groups, "hash", how)
+    hot = F.broadcast(hot)
+    near = rows.join(F.broadcast(groups.join(hot, "hash", "left_semi")), "hash", how)
+    return near.unionByName(rows.join(hot, "hash", "left_anti").join(groups, "hash", how))
+
+
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -54,10 +74,13 @@ def exact_dedup(
     )
     several = groups.where("group_size > 1").select("hash")
     n_several = several.count()
-    out = keys.join(groups, "hash")
+    hot = _hot_hashes(groups, keys.count())
+    out = _by_hash(keys, groups, hot, "inner")
     if n_several:
         # Equal texts fall together map-side, so a group sends one text per task whatever its size.
-        texts = hashed.select("hash", "norm").join(small(several, n_several, 32), "hash", "left_semi")
+        texts = hashed.select("hash", "norm")
+        fits = n_several * 32 <= BROADCAST_BYTES
+        texts = texts.join(F.broadcast(several), "hash", "left_semi") if fits else _by_hash(texts, several, hot, "left_semi")
         clashes = written(texts.groupBy("hash", "norm").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").count().where("count > 1").select("hash"), "dedup-clashes")
         n_clashes = clashes.count()
         if n_clashes:  # different texts under one hash: there the text itself is the key

@@ -33,6 +33,15 @@ def test_colliding_hashes_are_told_apart(spark):
     assert got(exact_dedup.exact_dedup(documents(spark, rows), content_hash=weak)) == brute(rows)
 
 
+def test_hot_and_other_groups(spark, monkeypatch):
+    rows = [(i, "a hot text" if i % 3 == 0 else f"text number {i % 70}" + " " * (i % 4), "en", "a", 1, "x") for i in range(300)]
+    monkeypatch.setattr(exact_dedup, "HOT", 4)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", 0)
+    assert got(exact_dedup.exact_dedup(documents(spark, rows))) == brute(rows)
+    # No group is hot here.
+    assert got(exact_dedup.exact_dedup(documents(spark, rows[1:3] * 3 + rows[4:6] * 3 + rows[7:9] * 3))) == brute(rows[1:3] * 3 + rows[4:6] * 3 + rows[7:9] * 3)
+
+
 def test_empty_table(spark):
     assert got(exact_dedup.exact_dedup(documents(spark, []))) == []
     assert exact_dedup.keep_first(documents(spark, [])).count() == 0
