@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessel.llm import ann, chat_format, exact_dedup, jaccard_join, license_scan, mixing, packing, quality, secret_scan, suffix_dedup
-from tessel.llm.sql import OP1_SQL, OP8_SQL
+from tessel.llm.sql import OP1_SQL, OP5_SQL, OP7_SQL, OP8_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,5 +74,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_chat_format": OP1_SQL,
+    "op5_suffix_dedup": OP5_SQL,
+    "op7_jaccard_join": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
