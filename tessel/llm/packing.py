@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import salted_rank, small, small_batches, written
+from tessel.llm.common import BATCH_ROWS, salted_rank, small, small_batches, written
 
 #: Latin-1, lower case: the tokenizer's letters and digits (fixed by the pre-tokenizer's pattern).
 _LETTERS = bytes(c for c in range(256) if chr(c).isalpha())
@@ -72,12 +72,16 @@ class Coder:
             self.words.clear()
         if len(self.chunks) > MEMO // 10:
             self.chunks.clear()
-        if new := list(words.difference(self.words)):
-            self.words.update(zip(new, self._words(new), strict=True))
+        # The batch's own words in a table of their own, which stays in the processor's caches while all texts look them up.
+        here = dict(zip(words, map(self.words.get, words), strict=True))
+        if new := [w for w, ids in here.items() if ids is None]:
+            coded = dict(zip(new, self._words(new), strict=True))
+            here.update(coded)
+            self.words.update(coded)
         if new := list(chunks.difference(self.chunks)):
             coded = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
             self.chunks.update((p, np.asarray(e.ids, "<u4").tobytes()) for p, e in zip(new, coded, strict=True))
-        at = {"latin-1": self.words.__getitem__, "utf-8": self.chunks.__getitem__}
+        at = {"latin-1": here.__getitem__, "utf-8": self.chunks.__getitem__}
         return [b"".join(map(at[kind], parts)) for parts, kind in split]
 
     def _words(self, words: list[bytes]) -> list[bytes]:
@@ -109,10 +113,10 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator:
         code = coder(tokenizer)
         for b in batches:
             ids, texts = b["doc_id"], b["text"]
-            for at in range(0, len(ids), 512):
+            for at in range(0, len(ids), BATCH_ROWS):
                 rows = []
-                coded = code.encode(texts[at : at + 512].to_pylist())
-                for doc, x in zip(ids[at : at + 512].to_pylist(), coded, strict=True):
+                coded = code.encode(texts[at : at + BATCH_ROWS].to_pylist())
+                for doc, x in zip(ids[at : at + BATCH_ROWS].to_pylist(), coded, strict=True):
                     x += end
                     for n, s in enumerate(range(0, len(x), size)):
                         y = x[s : s + size]
