@@ -128,12 +128,13 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, heads: int = MOST_HEADS) -> Model:
     """A model for (quality, toxic) from at most ``sample`` labelled documents of ``docs``, with at most ``heads`` heads.
 
-    Of ``labels`` (doc_id, quality, toxic) rows with a null are passed over, of repeated ids one counts.
+    Of ``labels`` (doc_id, quality, toxic) rows with a null are passed over, of repeated ids the least (quality, toxic) counts.
     Heads are chosen on half of the documents, the logistic models fitted on the others.
     """
     small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).dropna()
-    known = known.withColumn("order", F.xxhash64("label_id")).orderBy("order", "label_id", "quality", "toxic").limit(sample).dropDuplicates(["label_id"])
+    known = known.groupBy("label_id").agg(F.min(F.struct("quality", "toxic")).alias("least")).select("label_id", "least.*")
+    known = known.withColumn("order", F.xxhash64("label_id")).orderBy("order", "label_id").limit(sample)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
     chosen = written(chosen.select("text", "quality", "toxic", (F.pmod("order", F.lit(2)) == 0).alias("held")), "quality-sample")
 

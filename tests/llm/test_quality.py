@@ -113,3 +113,17 @@ def test_posteriors_against_plain_loops(spark, shift):
             assert r.kept == (n >= 10)
     tied = documents(spark, [(1, "w " * 10, "x", "a", 1, "x"), (2, "w " * 4, "x", "a", 1, "x")])
     assert {r.doc_id: (r.quality, r.toxic >= 0.5, r.kept) for r in Q.classify(tied, ByWords(), shift=0.0).collect()}[1] == (0.5, False, True)
+
+
+def test_repeated_labels_take_the_least(spark, big):
+    docs, labels = big
+    labels = labels.select("doc_id", "quality", "toxic").where("doc_id < 3000")
+    other = labels.where("doc_id % 3 = 0").selectExpr("doc_id", "1 - quality as quality", "1 - toxic as toxic")
+    least = {}
+    for r in labels.unionByName(other).collect():
+        least[r.doc_id] = min(least.get(r.doc_id, (1, 1)), (r.quality, r.toxic))
+    want = Q.fit(docs, spark.createDataFrame([(i, q, t) for i, (q, t) in least.items()], "doc_id long, quality int, toxic int"))
+    got = Q.fit(docs, other.unionByName(labels).repartition(5))
+    assert (got.heads == want.heads).all()
+    for a, b in zip(got.weights, want.weights, strict=True):
+        assert (a is None) == (b is None) and (a is None or np.allclose(a, b, rtol=1e-9, atol=1e-9))
