@@ -19,7 +19,7 @@ the corpus is first cut into *runs* between which no comparison is needed:
    steps 2 and 3 once more. Few of them occur twice.
 
 Hashes only decide which runs and strings meet; what goes is decided on the bytes. Runs travel as packed arrays, one
-row for each map batch and partition.
+compressed row for each map batch and partition, and each part has a partition of its own.
 """
 
 from __future__ import annotations
@@ -43,13 +43,16 @@ SETTLE = 250_000
 #: Strings, and runs, that are put in suffix order at once; together they take about 400 bytes each.
 STRINGS, ORDERED = 25_000, 20_000
 #: Bytes of runs that a task holds before it reduces them, and bytes of texts to a partition of runs.
-REDUCE, SHARE = 64 << 20, 64 << 20
+REDUCE, SHARE = 32 << 20, 64 << 20
+#: Bytes that are gathered at once; each takes 24 bytes of places meanwhile.
+GATHERED = 1 << 20
 #: Longer strings would not fit a run's length, and hardly be repeated passages.
 MOST_LENGTH = 1 << 15
 _MASK = np.uint64((1 << LOW) - 1)
+_ZSTD = pa.Codec("zstd", 1)
 
 #: A run: anchor hash, content hash, document, first string's start, number of strings.
-RUN = np.dtype([("h", "<u8"), ("r", "<u8"), ("doc", "<i8"), ("s", "<i4"), ("n", "<u2")])
+RUN = np.dtype([("h", "<u8"), ("r", "<u4"), ("doc", "<i8"), ("s", "<i4"), ("n", "<u2")])
 SPAN = np.dtype([("doc", "<i8"), ("s", "<i4"), ("e", "<i4")])
 ASK = np.dtype([("doc", "<i8"), ("h", "<u8"), ("s", "<i4"), ("n", "<u2"), ("crowded", "<u1")])
 NO_ID = (1 << 63) - 1
@@ -104,7 +107,14 @@ def runs_of(at: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray,
 
 def gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The slices of ``data`` one after the other."""
-    return data[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())] if len(sizes) else data[:0]
+    ends = np.cumsum(sizes)
+    out, i, done = np.empty(ends[-1] if len(ends) else 0, data.dtype), 0, 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(ends, done + GATHERED, "right")))
+        n = sizes[i:j]
+        out[done : ends[j - 1]] = data[np.repeat(starts[i:j] - (ends[i:j] - n) + done, n) + np.arange(ends[j - 1] - done)]
+        i, done = j, ends[j - 1]
+    return out
 
 
 def settle(runs: np.ndarray, data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,22 +146,31 @@ def spread(keys: np.ndarray, parts: int) -> np.ndarray:
     return (T.mix(keys.astype(np.uint64, copy=False)) % np.uint64(parts)).astype(np.int64)
 
 
+def pressed(data: bytes) -> bytes:
+    """``data`` compressed, with its length in front."""
+    return len(data).to_bytes(4, "little") + _ZSTD.compress(data, asbytes=True)
+
+
+def plain(blob: bytes) -> bytes:
+    return _ZSTD.decompress(blob[4:], int.from_bytes(blob[:4], "little"), asbytes=True)
+
+
 def packed(kind: int, rows: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """(kind, part, rows of the part), fields stored one after the other so that they compress."""
     if not len(rows):
         return
-    order = np.argsort(part, kind="stable")
+    order = np.lexsort((rows["s"], rows["doc"], part))
     rows, part = rows[order], part[order]
     cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
     for s, e in zip(cuts, [*cuts[1:], len(rows)], strict=True):
-        yield kind, int(part[s]), b"".join(np.ascontiguousarray(rows[f][s:e]).tobytes() for f in rows.dtype.names)
+        yield kind, int(part[s]), pressed(b"".join(np.ascontiguousarray(rows[f][s:e]).tobytes() for f in rows.dtype.names))
 
 
 def unpacked(blobs: list[bytes], dtype: np.dtype) -> np.ndarray:
-    sizes = [len(b) // dtype.itemsize for b in blobs]
+    sizes = [int.from_bytes(b[:4], "little") // dtype.itemsize for b in blobs]
     out, at = np.empty(sum(sizes), dtype), 0
-    for b, n in zip(blobs, sizes, strict=True):
-        start = 0
+    for blob, n in zip(blobs, sizes, strict=True):
+        b, start = plain(blob), 0
         for name in dtype.names:
             out[name][at : at + n] = np.frombuffer(b, dtype[name], n, start)
             start += n * dtype[name].itemsize
@@ -380,14 +399,14 @@ def repeated_spans(docs: DataFrame, length: int = 100, crowd: int = 1024, parts:
             at, data = T.buffers(b["text"])
             starts = np.repeat(at[:-1], [len(x) // ASK.itemsize for x in blobs]) + asks["s"]
             sizes = asks["n"].astype(np.int64) + length - 1
-            out, plain = [], np.flatnonzero(asks["crowded"] == 0)
-            part = spread(asks["h"][plain], parts)
+            out, whole = [], np.flatnonzero(asks["crowded"] == 0)
+            part = spread(asks["h"][whole], parts)
             order = np.argsort(part, kind="stable")
-            plain, part = plain[order], part[order]
-            cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(plain) else []
-            for s, e in zip(cuts, [*cuts[1:], len(plain)], strict=True) if len(plain) else ():
-                mine = plain[s:e]
-                out.append((ASKS, int(part[s]), len(mine).to_bytes(4, "little") + asks[mine].tobytes() + gather(data, starts[mine], sizes[mine]).tobytes()))
+            whole, part = whole[order], part[order]
+            cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(whole) else []
+            for s, e in zip(cuts, [*cuts[1:], len(whole)], strict=True) if len(whole) else ():
+                mine = whole[s:e]
+                out.append((ASKS, int(part[s]), pressed(len(mine).to_bytes(4, "little") + asks[mine].tobytes() + gather(data, starts[mine], sizes[mine]).tobytes())))
             crowded = np.flatnonzero(asks["crowded"])
             for i in range(0, len(crowded), ORDERED):
                 mine = crowded[i : i + ORDERED]
@@ -413,6 +432,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, crowd: int = 1024, parts:
         def reduced(held):
             """(the runs that stay, the spans of the others)."""
             asks, texts = np.concatenate([a for a, _ in held]), np.concatenate([t for _, t in held])
+            held.clear()
             sizes = asks["n"].astype(np.int64) + length - 1
             starts = np.cumsum(sizes) - sizes
             order = np.argsort(asks["h"], kind="stable")
@@ -426,6 +446,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, crowd: int = 1024, parts:
             through = []
             for kind, part, data in zip(*(b[c].to_pylist() for c in ("kind", "part", "data")), strict=True):
                 if kind == ASKS:
+                    data = plain(data)
                     n = int.from_bytes(data[:4], "little")
                     held.append((np.frombuffer(data, ASK, n, 4), np.frombuffer(data, np.uint8, offset=4 + n * ASK.itemsize)))
                     size += len(data)
@@ -456,22 +477,22 @@ def repeated_spans(docs: DataFrame, length: int = 100, crowd: int = 1024, parts:
 
     def with_bytes(met: DataFrame) -> DataFrame:
         """What :func:`fetch` makes of the runs that ask, written."""
-        asked = met.where(F.col("kind") == ASKS).repartition(parts, "part").mapInArrow(by_doc(ASK, ("ask_doc", "asks"), lambda x: x), "ask_doc long, asks binary")
+        asked = met.where(F.col("kind") == ASKS).repartitionById(parts, "part").mapInArrow(by_doc(ASK, ("ask_doc", "asks"), lambda x: x), "ask_doc long, asks binary")
         # Most documents share an anchor with others, so this is a shuffle of their texts but for small tables.
         return docs.join(asked, docs["doc"] == F.col("ask_doc")).select("text", "asks").mapInArrow(fetch, PACKED)
 
-    met = written(docs.select("doc", "text").mapInArrow(cut, PACKED).repartition(parts, "part").mapInArrow(meet, PACKED), "suffix-runs")
+    met = written(docs.select("doc", "text").mapInArrow(cut, PACKED).repartitionById(parts, "part").mapInArrow(meet, PACKED), "suffix-runs")
     spans = met.where(F.col("kind") == SPANS)
     if met.where(F.col("kind") == ASKS).limit(1).count():
         # The strings of crowded anchors pass through and meet by their own hashes; few ask once more.
-        first = written(with_bytes(met).repartition(parts, "part").mapInArrow(suffixes, PACKED), "suffix-spans")
+        first = written(with_bytes(met).repartitionById(parts, "part").mapInArrow(suffixes, PACKED), "suffix-spans")
         spans = spans.unionByName(first.where(F.col("kind") == SPANS))
         if first.where(F.col("kind") == RUNS).limit(1).count():
-            met = written(first.where(F.col("kind") == RUNS).repartition(parts, "part").mapInArrow(meet_strings, PACKED), "suffix-crowded")
+            met = written(first.where(F.col("kind") == RUNS).repartitionById(parts, "part").mapInArrow(meet_strings, PACKED), "suffix-crowded")
             spans = spans.unionByName(met.where(F.col("kind") == SPANS))
             if met.where(F.col("kind") == ASKS).limit(1).count():
-                spans = spans.unionByName(written(with_bytes(met).repartition(parts, "part").mapInArrow(suffixes, PACKED), "suffix-strings"))
-    return spans.repartition(parts, "part").mapInArrow(by_doc(SPAN, ("doc", "spans"), joined), "doc long, spans binary")
+                spans = spans.unionByName(written(with_bytes(met).repartitionById(parts, "part").mapInArrow(suffixes, PACKED), "suffix-strings"))
+    return spans.repartitionById(parts, "part").mapInArrow(by_doc(SPAN, ("doc", "spans"), joined), "doc long, spans binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, crowd: int = 1024, parts: int | None = None, keep_text: bool = False) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -120,3 +121,29 @@ def test_longest_previous_factor():
         lpf = D.longest_previous(np.array(order), lcp)
         for place, i in enumerate(order):
             assert lpf[place] == max((shared(i, j) for j in range(i)), default=0)
+
+
+def test_gathering_takes_little_memory():
+    """Slices of 16 MB are gathered with places of a part of them at a time."""
+    rng = np.random.default_rng(1)
+    data, sizes = rng.integers(0, 256, 1 << 20).astype(np.uint8), rng.integers(0, 268, 120_000)
+    starts = rng.integers(0, len(data) - 268, len(sizes))
+    tracemalloc.start()
+    found = D.gather(data, starts, sizes)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 6 * len(found)
+    assert found.tobytes() == b"".join(data[s : s + n].tobytes() for s, n in zip(starts, sizes, strict=True))
+    assert len(D.gather(data, starts[:0], sizes[:0])) == 0
+
+
+def test_packed_runs_are_small():
+    """Packed runs come back, in 20 bytes each where the hashes alone are 12."""
+    rng = np.random.default_rng(2)
+    runs = np.zeros(50_000, D.RUN)
+    runs["h"], runs["r"] = rng.integers(0, 1 << 63, len(runs)), rng.integers(0, 1 << 32, len(runs))
+    runs["doc"], runs["s"], runs["n"] = rng.integers(0, 2000, len(runs)) + (1 << 40), rng.integers(0, 5000, len(runs)), rng.integers(1, 70, len(runs))
+    blobs = list(D.packed(D.RUNS, runs, D.spread(runs["h"], 8)))
+    assert sum(len(b) for _, _, b in blobs) < 20 * len(runs)
+    back = D.unpacked([b for _, _, b in blobs], D.RUN)
+    assert sorted(back.tolist()) == sorted(runs.tolist())
