@@ -119,6 +119,9 @@ TEMPLATES = {
 #: English words that join others; a gram of such words alone says little.
 JOINING = "a an and any are as at be but by for from if in is it its may no not of on or so such that the their this to under with without you your".split()
 
+#: Rows of a file of spans and of labels, about.
+FILE_ROWS = 1 << 13
+
 #: Longest k-grams; shorter ones are taken where a span of the asked coverage needn't keep any (:func:`kept_grams`).
 GRAM = 4
 
@@ -216,6 +219,10 @@ def _base(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, raw: bytes,
     return out
 
 
+def _files(rows: int) -> int:
+    return max(1, -(-rows // FILE_ROWS))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict = PHRASES, templates: dict = TEMPLATES, k: int = GRAM, drift: int = 3, coverage: float = 0.8) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score; one row per row of ``docs``.
 
@@ -298,7 +305,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     votes = votes.withColumn("band", F.sum(F.when(gap <= by_template(apart), 0).otherwise(1)).over(line))
     bands = votes.groupBy("doc_id", "digest", "template", "band").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("votes"))
     spans = bands.where(F.col("votes") >= by_template(needed)).groupBy("doc_id", "digest").agg(F.collect_set(F.struct("template", "first", "last")).alias("spans"))
-    spans = written(spans, "license-spans")
+    # At most a row for each document is left, so the files are few, however many partitions the hits took.
+    spans = written(spans.coalesce(_files(docs.count())), "license-spans")
     n_spans = spans.count()
 
     def verified(batches):
@@ -336,7 +344,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     if n_spans:
         right = spans.withColumnsRenamed({"doc_id": "d", "digest": "g"})
         met = base.join(small(right, n_spans, 160), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g"))).drop("d", "g")
-        sure = written(met.mapInArrow(verified, out_schema).dropDuplicates(["doc_id", "digest"]), "license-labels")
+        sure = written(met.mapInArrow(verified, out_schema).dropDuplicates(["doc_id", "digest"]).coalesce(_files(n_spans)), "license-labels")
         right = sure.withColumnsRenamed({"doc_id": "d", "digest": "g"})
         narrow = narrow.join(small(right, sure.count(), 96), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g")), "left")
     else:

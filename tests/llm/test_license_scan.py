@@ -128,3 +128,20 @@ def test_notices_side_by_side_keep_their_labels(spark):
     text = " and ".join(L.TEMPLATES[x] for x in names)
     (r,) = L.scan(documents(spark, [(1, text, None, None, 0, "x")])).collect()
     assert set(names) <= set(r.labels.split(","))
+
+
+def test_few_rows_go_to_few_files(spark, monkeypatch):
+    """With many partitions and few documents with spans, a written table is one file (it was one for each partition with rows)."""
+    made, keep = {}, L.written
+    monkeypatch.setattr(L, "written", lambda df, name: made.setdefault(name, keep(df, name)))
+    settings = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        found = L.scan(documents(spark, [(i, f"{i} {MIT}", None, None, 0, "x") for i in range(40)])).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(found) == 40 and all(r.labels == "mit" for r in found)
+    assert {name: len(df.inputFiles()) for name, df in made.items()} == {"license-spans": 1, "license-labels": 1}
