@@ -19,7 +19,8 @@ the corpus is first cut into *runs* between which no comparison is needed:
    steps 2 and 3 once more. Few of them occur twice.
 
 Hashes only decide which runs and strings meet; what goes is decided on the bytes. Runs travel as packed arrays, one
-compressed row for each map batch and partition, and each part has a partition of its own.
+compressed row for each map batch and partition, and each part has a partition of its own. So do the texts, which
+meet what is asked of them, and in the end their spans, in the part of their document.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ STRINGS, ORDERED = 25_000, 20_000
 REDUCE, SHARE = 32 << 20, 64 << 20
 #: Bytes that are gathered at once; each takes 24 bytes of places meanwhile.
 GATHERED = 1 << 20
+#: Bytes of texts that are dealt, or met with what is asked of them, at once.
+DEALT = 8 << 20
 #: Longer strings would not fit a run's length, and hardly be repeated passages.
 MOST_LENGTH = 1 << 15
 _MASK = np.uint64((1 << LOW) - 1)
@@ -186,7 +189,68 @@ def packed_batch(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(parts, pa.int32()), pa.array(data, pa.binary())], ["kind", "part", "data"])
 
 
-RUNS, SPANS, ASKS = 0, 1, 2
+RUNS, SPANS, ASKS, TEXTS = 0, 1, 2, 3
+
+
+def dealt(docs: DataFrame, parts: int) -> DataFrame:
+    """The texts of ``docs`` (doc, text) as packed rows, by the part of their document."""
+
+    def packed_texts(ids: list[np.ndarray], sizes: list[np.ndarray], texts: list[np.ndarray]) -> pa.RecordBatch:
+        ids, sizes, data, rows = np.concatenate(ids), np.concatenate(sizes), np.concatenate(texts), []
+        part, starts = spread(ids, parts), np.cumsum(sizes) - sizes
+        order = np.argsort(part, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            head = np.concatenate(([len(some)], ids[some], sizes[some])).astype("<i8")
+            rows.append((TEXTS, int(part[some[0]]), pressed(head.tobytes() + gather(data, starts[some], sizes[some]).tobytes())))
+        return packed_batch(rows)
+
+    def deal(batches):
+        ids, sizes, texts, held = [], [], [], 0
+        for b in batches:
+            docs = b["doc"].to_numpy()
+            for row, stop, at, data in T.chunks(b["text"]):
+                ids.append(docs[row:stop])
+                sizes.append(np.diff(at))
+                texts.append(data.copy())
+                held += len(data) + 16 * (stop - row)
+                if held >= DEALT:
+                    yield packed_texts(ids, sizes, texts)
+                    ids, sizes, texts, held = [], [], [], 0
+        if ids:
+            yield packed_texts(ids, sizes, texts)
+
+    return docs.select("doc", "text").mapInArrow(deal, PACKED)
+
+
+def met_texts(batches, dtype: np.dtype, merge=lambda rows: rows) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, offsets, bytes, rows, row's text) of some texts of a part and the packed rows of their documents.
+
+    Until all rows are there the texts wait, packed.
+    """
+    rows, texts = [], []
+    for b in batches:
+        for kind, data in zip(b["kind"].to_pylist(), b["data"].to_pylist(), strict=True):
+            (texts if kind == TEXTS else rows).append(data)
+    rows = merge(unpacked(rows, dtype))
+    rows = rows[np.argsort(rows["doc"], kind="stable")]
+    texts.reverse()
+    while texts:
+        some, size = [], 0
+        while texts and size < DEALT:
+            some.append(dealt_texts(texts.pop()))
+            size += len(some[-1][2])
+        ids, sizes, data = (np.concatenate(x) for x in zip(*some, strict=True))
+        low, high = np.searchsorted(rows["doc"], ids), np.searchsorted(rows["doc"], ids, "right")
+        text = np.repeat(np.arange(len(ids)), high - low)
+        at = np.arange(len(text)) - np.repeat(np.cumsum(high - low) - high, high - low)
+        yield ids, np.concatenate(([0], np.cumsum(sizes))), data, rows[at], text
+
+
+def dealt_texts(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, sizes, bytes) of a packed row of texts."""
+    data = plain(blob)
+    n = int.from_bytes(data[:8], "little")
+    return np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, "<i8", n, 8 + 8 * n), np.frombuffer(data, np.uint8, offset=8 + 16 * n)
 
 
 def previous_smaller(position: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -305,16 +369,11 @@ def joined(spans: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, crowd: int = 1024, parts: int | None = None) -> DataFrame:
-    """(doc, spans): for documents that lose bytes, the joined spans as packed (start, end) pairs.
+def repeated_spans(docs: DataFrame, length: int, crowd: int, parts: int) -> DataFrame:
+    """Packed rows of the spans that go, by the part of their document; they may overlap.
 
-    ``docs`` has doc (long, unique, in document order) and text, without nulls. ``parts`` is the number of partitions
-    of runs, by default one for each :data:`SHARE` bytes of text, and 64 at least.
+    ``docs`` has doc (long, unique, in document order) and text, without nulls. ``parts`` is the number of partitions.
     """
-    if not 2 <= length <= MOST_LENGTH:
-        raise ValueError(f"length must be 2 to {MOST_LENGTH}")
-    if not parts:
-        parts = max(64, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARE))
 
     def settled(found: list[np.ndarray], data: list[np.ndarray], at: list[np.ndarray]) -> pa.RecordBatch:
         first, later = settle(np.concatenate(found), np.concatenate(data), np.concatenate(at), length)
@@ -375,29 +434,10 @@ def repeated_spans(docs: DataFrame, length: int = 100, crowd: int = 1024, parts:
     def meet_strings(batches):
         return meet(batches, split=False)
 
-    def by_doc(dtype: np.dtype, fields: tuple[str, ...], merge):
-        """One row per document from the packed rows of its part."""
-
-        def collect(batches):
-            rows = unpacked([x for b in batches for x in b["data"].to_pylist()], dtype)
-            if not len(rows):
-                return
-            rows = merge(rows)
-            rows = rows[np.argsort(rows["doc"], kind="stable")]
-            cuts = np.flatnonzero(np.concatenate(([True], rows["doc"][1:] != rows["doc"][:-1])))
-            blobs = [rows[s:e].tobytes() for s, e in zip(cuts, [*cuts[1:], len(rows)], strict=True)]
-            for i in range(0, len(cuts), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(rows["doc"][cuts[i : i + 4096]]), pa.array(blobs[i : i + 4096], pa.binary())], list(fields))
-
-        return collect
-
     def fetch(batches):
         """Bytes of plain runs go to their anchor's part; crowded ones become runs of one string."""
-        for b in batches:
-            blobs = b["asks"].to_pylist()
-            asks = np.concatenate([np.frombuffer(x, ASK) for x in blobs]) if blobs else np.zeros(0, ASK)
-            at, data = T.buffers(b["text"])
-            starts = np.repeat(at[:-1], [len(x) // ASK.itemsize for x in blobs]) + asks["s"]
+        for _, at, data, asks, text in met_texts(batches, ASK):
+            starts = at[text] + asks["s"]
             sizes = asks["n"].astype(np.int64) + length - 1
             out, whole = [], np.flatnonzero(asks["crowded"] == 0)
             part = spread(asks["h"][whole], parts)
@@ -477,9 +517,8 @@ def repeated_spans(docs: DataFrame, length: int = 100, crowd: int = 1024, parts:
 
     def with_bytes(met: DataFrame) -> DataFrame:
         """What :func:`fetch` makes of the runs that ask, written."""
-        asked = met.where(F.col("kind") == ASKS).repartitionById(parts, "part").mapInArrow(by_doc(ASK, ("ask_doc", "asks"), lambda x: x), "ask_doc long, asks binary")
-        # Most documents share an anchor with others, so this is a shuffle of their texts but for small tables.
-        return docs.join(asked, docs["doc"] == F.col("ask_doc")).select("text", "asks").mapInArrow(fetch, PACKED)
+        # Most documents share an anchor with others, so all texts are dealt, packed; a join would shuffle them as they are.
+        return met.where(F.col("kind") == ASKS).unionByName(dealt(docs, parts)).repartitionById(parts, "part").mapInArrow(fetch, PACKED)
 
     met = written(docs.select("doc", "text").mapInArrow(cut, PACKED).repartitionById(parts, "part").mapInArrow(meet, PACKED), "suffix-runs")
     spans = met.where(F.col("kind") == SPANS)
@@ -492,7 +531,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, crowd: int = 1024, parts:
             spans = spans.unionByName(met.where(F.col("kind") == SPANS))
             if met.where(F.col("kind") == ASKS).limit(1).count():
                 spans = spans.unionByName(written(with_bytes(met).repartitionById(parts, "part").mapInArrow(suffixes, PACKED), "suffix-strings"))
-    return spans.repartitionById(parts, "part").mapInArrow(by_doc(SPAN, ("doc", "spans"), joined), "doc long, spans binary")
+    return spans
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, crowd: int = 1024, parts: int | None = None, keep_text: bool = False) -> DataFrame:
@@ -505,11 +544,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
       hash of the text; rows that repeat both are one document and get equal results.
     * Texts shorter than ``length`` lose nothing. An empty table gives no rows.
     * What goes is decided on bytes; hashes only say what is compared. ``length`` is 2 to 32,768. Texts may have up to 2 GiB.
-    * Other columns are not read.
+    * Other columns are not read. ``parts`` is the number of partitions of runs and texts, by default one for each
+      :data:`SHARE` bytes of text, and 64 at least.
     """
+    if not 2 <= length <= MOST_LENGTH:
+        raise ValueError(f"length must be 2 to {MOST_LENGTH}")
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = base.groupBy("doc_id").count()
+    keyed = None
     if ids.where("count > 1 or doc_id is null").limit(1).count():
         # Unique keys in document order for tables whose ids are not.
         keyed = written(base.select("doc_id", F.xxhash64("text").alias("digest")).distinct().orderBy(F.col("doc_id").asc_nulls_last(), "digest").withColumn("doc", F.monotonically_increasing_id()), "suffix-keys")
@@ -518,23 +561,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         unique = base.dropDuplicates(["doc"])
     else:
         base = unique = base.select("doc_id", F.col("doc_id").alias("doc"), "text")
-    spans = written(repeated_spans(unique, length, crowd, parts), "suffix-removed").withColumnRenamed("doc", "span_doc")
-    met = base.join(spans, F.col("doc") == F.col("span_doc"), "left").select("doc_id", "text", "spans")
+    if not parts:
+        parts = max(64, -(-(unique.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARE))
+    spans = repeated_spans(unique, length, crowd, parts)
+    met = spans.unionByName(dealt(base, parts)).repartitionById(parts, "part")
 
     def left(batches):
-        for b in batches:
-            rows = []
-            for text, blob in zip(b["text"].to_pylist(), b["spans"].to_pylist(), strict=True):
-                data = text.encode()
-                gone = np.frombuffer(blob or b"", SPAN)
-                edges = [0, *np.stack([gone["s"], gone["e"]], 1).ravel().tolist(), len(data)]
-                kept = b"".join(data[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True))
-                rows.append((len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), *([kept] if keep_text else [])))
+        for ids, at, data, spans, text in met_texts(batches, SPAN, joined):
+            first, rows = np.searchsorted(text, np.arange(len(ids) + 1)), []
+            for i, (low, high) in enumerate(zip(first[:-1], first[1:], strict=True)):
+                whole, gone = data[at[i] : at[i + 1]].tobytes(), spans[low:high]
+                edges = [0, *np.stack([gone["s"], gone["e"]], 1).ravel().tolist(), len(whole)]
+                kept = b"".join(whole[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True))
+                rows.append((len(whole), len(whole) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), *([kept] if keep_text else [])))
             columns = zip(*rows, strict=True) if rows else [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
     names, types = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64()] * 3 + [pa.string()]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if keep_text:
         names, types, schema = [*names, "kept"], [*types, pa.binary()], schema + ", kept binary"
-    return met.mapInArrow(left, schema)
+    out = met.mapInArrow(left, schema)
+    if keyed is None:
+        return out
+    out = out.withColumnRenamed("doc_id", "out_doc")
+    return out.join(keyed, F.col("out_doc") == F.col("doc")).select(F.col("k_id").alias("doc_id"), *names[1:])

@@ -147,3 +147,21 @@ def test_packed_runs_are_small():
     assert sum(len(b) for _, _, b in blobs) < 20 * len(runs)
     back = D.unpacked([b for _, _, b in blobs], D.RUN)
     assert sorted(back.tolist()) == sorted(runs.tolist())
+
+
+def test_texts_are_dealt_packed_and_never_joined(spark, monkeypatch):
+    monkeypatch.setattr(D, "DEALT", 3000)
+    rng = random.Random(5)
+    words = ["w" + str(i) for i in range(50)]
+    docs = {i: " ".join(rng.choices(words, k=rng.choice([0, 5, 400]))) + "é" for i in range(60)}
+    df = spark.createDataFrame(list(docs.items()), "doc long, text string").repartition(2)
+    back, packed = {}, 0
+    for r in D.dealt(df, 7).collect():
+        ids, sizes, data = D.dealt_texts(bytes(r["data"]))
+        assert (D.spread(ids, 7) == r["part"]).all() and r["kind"] == D.TEXTS
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        back |= {int(i): data[s:e].tobytes().decode() for i, s, e in zip(ids, at[:-1], at[1:], strict=True)}
+        packed += len(r["data"])
+    assert back == docs and packed < 0.7 * sum(len(t.encode()) for t in docs.values())
+    out = D.remove_repeats(df.withColumnRenamed("doc", "doc_id"), length=60, parts=3)  # unique ids
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
